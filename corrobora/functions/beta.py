@@ -61,7 +61,7 @@ def beta_ppf(prob, a, b):
             step = x - gap / density
         inside = np.isfinite(step) & (step > low) & (step < high)
         nxt = np.where(inside, step, (low + high) / 2)
-        if np.all(np.abs(nxt - x) <= 1e-14 * x):
+        if np.all(np.abs(nxt - x) <= 1e-12 * x):
             return nxt
         x = nxt
     return x

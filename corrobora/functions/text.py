@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Spellings of "no value", and the characters that count as space or as part of a word.
@@ -31,32 +33,43 @@ def norm_text(col: Column) -> Column:
     return F.when(_has_value(text), F.nullif(words, F.lit("")))
 
 
-def norm_number(col: Column) -> Column:
-    """First number in the text with two decimals, or null; a comma is a decimal mark.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _two_decimals(x: Column, sign: Column) -> Column:
+    """Non-negative double below 2**62 with two decimals, half-even on its exact binary value.
 
-    The double nearest to the number is rounded half-even on its exact binary
-    value. Its fraction is split into two parts of at most 27 bits, whose
-    products with 100 are exact, so the side of the half can be told exactly.
+    The fraction is split into two parts of at most 27 bits, whose products with
+    100 are exact, so the side of the half can be told exactly.
     """
+    def rounded(frac: Column) -> Column:
+        def halves(high: Column) -> Column:
+            cents = F.floor(frac * 100.0)
+            beyond = (high * 100.0 - (cents + 0.5)) + (frac - high) * 100.0
+            return cents + F.when((beyond > 0) | ((beyond == 0) & (cents % 2 == 1)), 1).otherwise(0)
+
+        return _let(frac * 134217729.0 - (frac * 134217729.0 - frac), halves)
+
+    def shown(cents: Column) -> Column:
+        whole = (F.floor(x) + F.floor(cents / 100)).cast("string")
+        return F.concat(sign, whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+    return _let(_let(x - F.floor(x), rounded), shown)
+
+
+def norm_number(col: Column) -> Column:
+    """First number in the text with two decimals, or null; a comma is a decimal mark."""
     text = F.regexp_replace(col.cast("string"), ",", ".")
-    found = F.regexp_extract(text, NUMBER, 0)
-    x = F.abs(found.try_cast("double"))
-    whole = F.floor(x)
-    frac = x - whole
-    shifted = frac * 134217729.0
-    high = shifted - (shifted - frac)
-    low = frac - high
-    cents = F.floor(frac * 100.0)
-    beyond_half = (high * 100.0 - (cents + 0.5)) + low * 100.0
-    up = (beyond_half > 0) | ((beyond_half == 0) & (cents % 2 == 1))
-    rounded = cents + F.when(up, 1).otherwise(0)
-    sign = F.when(found.startswith("-"), "-").otherwise("")
-    exact = F.concat(
-        sign,
-        (whole + F.floor(rounded / 100)).cast("string"),
-        F.lit("."),
-        F.lpad((rounded % 100).cast("string"), 2, "0"),
-    )
-    # Above 2**62 doubles are whole numbers too large for the long arithmetic above.
-    huge = F.concat(sign, F.format_string("%.2f", x))
-    return F.when(found != "", F.when(x < 2.0**62, exact).otherwise(huge))
+
+    def formatted(found: Column) -> Column:
+        sign = F.when(found.startswith("-"), "-").otherwise("")
+
+        def shown(x: Column) -> Column:
+            # From 2**62 on doubles are whole numbers, too large for long arithmetic.
+            return F.when(x < 2.0**62, _two_decimals(x, sign)).otherwise(F.concat(sign, F.format_string("%.2f", x)))
+
+        return F.when(found != "", _let(F.abs(found.try_cast("double")), shown))
+
+    return _let(F.regexp_extract(text, NUMBER, 0), formatted)

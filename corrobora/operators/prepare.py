@@ -58,7 +58,7 @@ def replicate_claims(claims: DataFrame, n_rows: int, order: Sequence[str]) -> Da
         F.count("*"), F.max("cluster_id") + 1, F.max("offer_id") + 1
     ).first()
     copies = -(-n_rows // total)
-    copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))
     tiled = base.withColumn("_copy", copy).filter(F.col("_copy") * total + F.col("_row") < n_rows)
     return (
         tiled.withColumn("cluster_id", F.col("cluster_id") + F.col("_copy") * span)
