@@ -7,11 +7,16 @@ runs over the (source, field) table, never over claims.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# Ship the functions below with the UDF, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
 

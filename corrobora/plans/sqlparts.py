@@ -5,17 +5,17 @@ from __future__ import annotations
 
 def lcb_sql(counts: str, key: str, delta: float = 0.05) -> str:
     """Beta quantile by bisection; the distribution function is its (all positive) power series."""
-    log_front = "a*ln(m) + b*ln(1-m) + lgamma(a+b) - lgamma(a) - lgamma(b) - ln(a)"
-    term = "exp(lgamma(a+b+n) - lgamma(a+b) - lgamma(a+1+n) + lgamma(a+1) + n*ln(m))"
+    log_front = "pa*ln(mid) + pb*ln(1-mid) + lgamma(pa+pb) - lgamma(pa) - lgamma(pb) - ln(pa)"
+    term = "exp(lgamma(pa+pb+n) - lgamma(pa+pb) - lgamma(pa+1+n) + lgamma(pa+1) + n*ln(mid))"
     return f"""
     SELECT {key}, (lo + hi) / 2 AS trust FROM (
       WITH RECURSIVE bisect AS (
-        SELECT {key}, 2.0 + succ AS a, 2.0 + fail AS b, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM {counts}
+        SELECT {key}, 2.0 + succ AS pa, 2.0 + fail AS pb, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM {counts}
         UNION ALL
-        SELECT {key}, a, b, CASE WHEN p < {delta} THEN m ELSE lo END, CASE WHEN p < {delta} THEN hi ELSE m END, i + 1
-        FROM (SELECT *, exp({log_front}) * list_sum(list_transform(range(0, 1500), lambda n: {term})) AS p
-              FROM (SELECT *, (lo + hi) / 2 AS m FROM bisect WHERE i < 42))
-      ) SELECT * FROM bisect WHERE i = 42)"""
+        SELECT {key}, pa, pb, CASE WHEN cdf < {delta} THEN mid ELSE lo END, CASE WHEN cdf < {delta} THEN hi ELSE mid END, step + 1
+        FROM (SELECT *, exp({log_front}) * list_sum(list_transform(range(0, 1500), lambda n: {term})) AS cdf
+              FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisect WHERE step < 42))
+      ) SELECT * FROM bisect WHERE step = 42)"""
 
 
 def vote_sql(source: str, keys: str = "cluster_id, field", weight: str = "trust") -> str:

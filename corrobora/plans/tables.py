@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corrobora.operators.prepare import unpivot_claims
 from corrobora.operators.trust import adjudicate, join_trust, trust_counts, trust_table
 from corrobora.plans.methods import prepare
+from corrobora.session import spread
 
 LINE_FIELDS = ("returnflag", "linestatus", "discount_pct", "tax_pct")
 
@@ -21,7 +22,8 @@ def epoch_seconds(ts: Column) -> Column:
 
 def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as records in which suppliers describe parts."""
-    line = load(spark, sf_dir, "lineitem")
+    columns = "l_orderkey l_partkey l_suppkey l_linenumber l_discount l_tax l_returnflag l_linestatus l_shipdate"
+    line = spread(load(spark, sf_dir, "lineitem").select(*columns.split()))
 
     def percent(c: str) -> Column:
         return F.rint(F.col(c) * 100).cast("long").cast("string")

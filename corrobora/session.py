@@ -46,6 +46,16 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores if it has fewer partitions than there are cores.
+
+    A file with one row group is one task, however many cores wait. Inputs of
+    a cluster's size have partitions enough and come back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
