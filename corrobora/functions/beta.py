@@ -17,7 +17,9 @@ from pyspark.sql import Column, functions as F
 # Ship the functions below with the UDF, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _log_gamma(x):
+    return np.array([math.lgamma(v) for v in x.flat]).reshape(x.shape)
 
 
 def _tail_fraction(x, a, b):

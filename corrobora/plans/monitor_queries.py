@@ -415,7 +415,7 @@ def _(spark, sf):
 
 
 # ----------------------------------------------------------------- streams
-N_BATCHES = 10
+N_BATCHES = 8
 FRACTION = 0.2
 
 
@@ -454,8 +454,8 @@ def _stream_parts() -> dict[str, str]:
         "judgedb": f"""SELECT c.b, c.source_id, c.field, c.ts, CAST(c.value = s.value AS BIGINT) AS x
           FROM collb c JOIN streamsilver s USING (cluster_id, field) WHERE {reveal} < {int(round(FRACTION * 2**32))}""",
         "countsb": f"SELECT b, source_id, field, {COUNTS} FROM judgedb GROUP BY ALL",
-        "stateb": """SELECT n AS b, source_id, field, sum(succ) AS succ, sum(fail) AS fail FROM countsb,
-          (SELECT CAST(unnest(range(0, 10)) AS BIGINT) AS n) WHERE b <= n GROUP BY n, source_id, field""",
+        "stateb": f"""SELECT n AS b, source_id, field, sum(succ) AS succ, sum(fail) AS fail FROM countsb,
+          (SELECT CAST(unnest(range(0, {N_BATCHES})) AS BIGINT) AS n) WHERE b <= n GROUP BY n, source_id, field""",
         "trustb": lcb_sql("stateb", "b, source_id, field"),
         "weighb": """SELECT c.b, c.cluster_id, c.field, c.value, coalesce(t.trust, 0.5) AS trust FROM collb c
           LEFT JOIN trustb t ON t.b = c.b - 1 AND t.source_id = c.source_id AND t.field = c.field""",
@@ -482,7 +482,7 @@ def _(spark, sf):
 
 @query(
     "stream_trust",
-    assemble("SELECT source_id, field, succ, fail FROM stateb WHERE b = 9", **_stream_parts()),
+    assemble(f"SELECT source_id, field, succ, fail FROM stateb WHERE b = {N_BATCHES - 1}", **_stream_parts()),
 )
 def _(spark, sf):
     stream, cut, silver = _batches(spark, sf)
