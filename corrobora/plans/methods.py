@@ -110,6 +110,7 @@ def em_truth(
     parts = int(collapsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = collapsed.select(*keys, "source_id", "value").repartition(parts, *keys).persist()
     try:
+        work.count()  # a filled cache lets the planner see its partitioning
         weights = None
         for step in range(n_iter):
             weighted = (
