@@ -3,7 +3,7 @@
 Inputs of an operator are prepared and written first; a timing is the operator
 from the Parquet scan to the last row of its result, best of two runs after
 one warm-up (results go to the no-op sink, so every output row is computed).
-Pipelines (``*_pipeline``) start at the raw test tables.
+``vote_mean_end_to_end`` starts at the raw test tables.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def main() -> None:
         "collapse_raw": (lambda: fuse.collapse_per_source(raw), counts["raw"]),
         "trust_update": (lambda: tr.trust_table(tr.trust_counts(judged)), counts["judged"]),
         "trust_lcb": (lambda: tr.trust_table(tr.trust_counts(judged), "lcb"), counts["judged"]),
-        "vote_mean_pipeline": (lambda: catalog.QUERIES["vote_mean"](spark, SF_DIR), counts["raw"]),
+        "vote_mean_end_to_end": (lambda: catalog.QUERIES["vote_mean"](spark, SF_DIR), counts["raw"]),
     }
     times = {name: seconds(build) for name, (build, _) in cases.items()}
     times["em_truth"] = seconds(lambda: me.em_truth(collapsed), runs=1, warm=0)

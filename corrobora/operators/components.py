@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corrobora.operators.joins import lookup_join
+from corrobora.operators.joins import BROADCAST_BYTES, lookup_join
 from corrobora.operators.order import with_row_index
 from corrobora.session import pin
 
 
-def _point_to_least(edges: DataFrame, everyone: bool) -> DataFrame:
+def _point_to_least(edges: DataFrame, everyone: bool, max_bytes: int) -> DataFrame:
     """Link neighbours of each node ``u`` to the least node around it.
 
     ``everyone=True`` looks at all neighbours and relinks the greater ones;
     otherwise only smaller neighbours are looked at and ``u`` itself is linked.
     """
     seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if everyone else edges
-    least = pin(seen.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
-    around = lookup_join(seen, least, ["u"], "inner")
+    least = pin(seen.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("_n")), "least")
+    around = lookup_join(seen, pin(least.select("u", "m"), "least"), ["u"], "inner", max_bytes, least.select("u", "_n"))
     links = around.filter("v > u" if everyone else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not everyone:
         links = links.unionByName(least.select("u", F.col("m").alias("v")))
     return links.filter("u <> v").distinct()
 
 
-def connected_components(pairs: DataFrame, left: str = "left", right: str = "right", max_rounds: int = 100) -> DataFrame:
+def connected_components(
+    pairs: DataFrame,
+    left: str = "left",
+    right: str = "right",
+    max_rounds: int = 100,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """(node, cluster_id) of every node in ``pairs``; ids are dense, by least member.
 
     Each round is a few joins and aggregations and halves the paths, so the
@@ -41,7 +47,8 @@ def connected_components(pairs: DataFrame, left: str = "left", right: str = "rig
 
     last = digest(edges)
     for _ in range(max_rounds):
-        edges = pin(_point_to_least(_point_to_least(edges, everyone=True), everyone=False), "edges")
+        relinked = _point_to_least(edges, everyone=True, max_bytes=max_bytes)
+        edges = pin(_point_to_least(relinked, everyone=False, max_bytes=max_bytes), "edges")
         now = digest(edges)
         if now == last:
             break
@@ -51,4 +58,4 @@ def connected_components(pairs: DataFrame, left: str = "left", right: str = "rig
     member = nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     member = pin(member.select("node", F.coalesce("root", "node").alias("root")), "member")
     roots = with_row_index(member.select("root").distinct(), ["root"], "cluster_id").select("root", "cluster_id")
-    return lookup_join(member, roots, ["root"], "inner").select("node", "cluster_id")
+    return lookup_join(member, roots, ["root"], "inner", max_bytes).select("node", "cluster_id")

@@ -22,15 +22,25 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that each hold more than 1/``share`` of the rows: fewer than ``share`` of them."""
-    counts = pin(df.groupBy(*keys).agg(F.count("*").alias("_n")), "keycount")
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, counts: DataFrame | None = None
+) -> DataFrame:
+    """Keys that each hold more than 1/``share`` of the rows: fewer than ``share`` of them.
+
+    ``counts`` (the keys and their rows ``_n``) spares a pass over ``df``.
+    """
+    counts = pin(df.groupBy(*keys).agg(F.count("*").alias("_n")) if counts is None else counts, "keycount")
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     return counts.filter(F.col("_n") * share > total).select(*keys)
 
 
 def salted_join(
-    big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS
+    big: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    salts: int = SALTS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join in which only the hot keys of ``big`` are spread over ``salts`` partitions.
 
@@ -38,7 +48,7 @@ def salted_join(
     fewer than ``HOT_SHARE`` such keys, so the repetition is bounded.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(big, keys, counts=counts).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     left = (
         big.join(hot, keys, "left")
@@ -60,6 +70,7 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "left",
     max_bytes: int = BROADCAST_BYTES,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` with a lookup table that is usually, but not surely, small.
 
@@ -70,4 +81,4 @@ def lookup_join(
     lookup = pin(lookup, "lookup")
     if table_bytes(lookup) <= max_bytes:
         return big.join(F.broadcast(lookup), keys, how)
-    return salted_join(big, lookup, keys, how)
+    return salted_join(big, lookup, keys, how, counts=counts)

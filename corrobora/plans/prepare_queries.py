@@ -271,6 +271,9 @@ def _(spark, sf):
 
 
 # ----------------------------------------------------------------- sources
+PART_TYPES = ("economy", "large", "medium", "promo", "small", "standard")
+
+
 @query(
     "pool_offers",
     """SELECT offer_id, w.cluster_id AS cluster_id, w.category AS category, w.title AS title, w.brand AS brand, w.description AS description FROM (
@@ -303,9 +306,8 @@ def _(spark, sf):
     path = scratch_path(spark, "pairs")
     ordered = pairs.orderBy("category", "split", "id_left")
     ordered.write.partitionBy("category", "split").option("compression", "gzip").json(path)
-    names = [r[0] for r in part.select(F.lower("p_type")).distinct().orderBy(F.lower("p_type")).limit(100).collect()]
     return files.read_offer_pairs(
-        spark, path, names, ["train", "valid"], pattern=r"category=([^/]+)/split=([^/]+)/"
+        spark, path, PART_TYPES, ["train", "valid"], pattern=r"category=([^/]+)/split=([^/]+)/"
     )
 
 

@@ -80,13 +80,17 @@ def read_offer_pairs(
 
 
 # -------------------------------------------------------- multi-source CSV
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header: all columns as text, empty cells null, clean lower-case names."""
+def read_csv_strings(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header: all columns as text, empty cells null, clean lower-case names.
+
+    Quoted values may hold line breaks; large files that surely have none are
+    read in splits with ``line_breaks=False``.
+    """
     raw = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("nullValue", "")
         .option("emptyValue", "")
         .csv(path)
@@ -95,14 +99,18 @@ def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_music_claims(
-    spark: SparkSession, path: str, order: str = "tid", fields: Sequence[str] = MUSIC_FIELDS
+    spark: SparkSession,
+    path: str,
+    order: str = "tid",
+    fields: Sequence[str] = MUSIC_FIELDS,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Claims of a multi-source record file with gold cluster ids.
 
     Values are numbered by field and record before clusters with a single source
     are dropped. Records are ordered by ``order``, their number in the file.
     """
-    records = read_csv_strings(spark, path)
+    records = read_csv_strings(spark, path, line_breaks)
     present = [f for f in fields if f in records.columns]
     wide = records.select(
         F.col("cid").cast("long").alias("cluster_id"),

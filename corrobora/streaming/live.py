@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -56,11 +55,8 @@ class BatchTable:
         df.write.mode("overwrite").parquet(self.path(batch_id))
         return written(self.spark.read.schema(df.schema).parquet(self.path(batch_id)))
 
-    def get(self, batch_id: int) -> DataFrame | None:
-        try:
-            return written(self.spark.read.parquet(self.path(batch_id)))
-        except AnalysisException:
-            return None
+    def get(self, batch_id: int) -> DataFrame:
+        return written(self.spark.read.parquet(self.path(batch_id)))
 
     def all(self) -> DataFrame:
         """Every batch, with its number as ``batch_id``."""
@@ -97,7 +93,11 @@ class LiveFusion:
 
     # ------------------------------------------------------------- batches
     def state_before(self, batch_id: int) -> DataFrame | None:
-        """Evidence and trust that the previous batch left, or None at the start."""
+        """Evidence and trust that the previous batch left, or None at the start.
+
+        The engine begins a batch only after the one before it is committed, so a
+        missing state is an error and not a fresh start.
+        """
         return self.tables["state"].get(batch_id - 1) if batch_id else None
 
     def fuse_batch(self, batch: DataFrame, batch_id: int) -> None:

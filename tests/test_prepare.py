@@ -146,6 +146,12 @@ def test_components(spark, rows_of, name, pairs):
     assert rows_of(connected_components(df)) == plain_components(pairs)
 
 
+def test_components_without_broadcast(spark, rows_of):
+    pairs = [("hub", f"x{i}") for i in range(300)] + [("y1", "y2"), ("y2", "x7"), ("z1", "z2")]
+    df = spark.createDataFrame(pairs, "left string, right string")
+    assert rows_of(connected_components(df, max_bytes=0)) == plain_components(pairs)
+
+
 def test_offer_pairs_keep_the_first_appearance(spark, tmp_path, rows_of):
     def pair(left, right):
         line = {}
