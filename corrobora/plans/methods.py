@@ -101,14 +101,16 @@ def em_truth(
 ) -> DataFrame:
     """Iterative truth discovery: vote, re-weigh each source by its agreement, repeat.
 
-    The claims are hashed by group once and cached, so the votes and the
-    agreement join of every round need no further shuffle of claims; only the
-    per-source weights move. Collapsed claims have at most one row per source
-    in a group, which bounds what one partition gets. Returns the last vote.
+    The claims are hashed and sorted by group once and cached, so the votes and
+    the agreement join of every round need no further shuffle of claims, and the
+    join no sort of them; only the per-source weights move. Collapsed claims have
+    at most one row per source in a group, which bounds what one partition gets.
+    Returns the last vote.
     """
     keys = [*by, *GROUP]
     parts = int(collapsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = collapsed.select(*keys, "source_id", "value").repartition(parts, *keys).persist()
+    work = collapsed.select(*keys, "source_id", "value").repartition(parts, *keys)
+    work = work.sortWithinPartitions(*keys).persist()
     try:
         work.count()  # a filled cache lets the planner see its partitioning
         weights = None

@@ -1,4 +1,4 @@
-"""Common table expressions of the reference SQL, and a small assembler for them."""
+"""Common table expressions of the comparison SQL, and a small assembler for them."""
 
 from __future__ import annotations
 

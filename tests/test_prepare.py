@@ -140,7 +140,7 @@ def graphs():
     yield "hub", [("hub", f"x{i}") for i in range(200)] + [("y1", "y2"), ("y2", "y3"), ("z", "z")]
 
 
-@pytest.mark.parametrize("name,pairs", graphs())
+@pytest.mark.parametrize("name,pairs", list(graphs()))
 def test_components(spark, rows_of, name, pairs):
     df = spark.createDataFrame(pairs, "left string, right string")
     assert rows_of(connected_components(df)) == plain_components(pairs)
