@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corrobora.llm.byte_bpe import bpe_query
+from corrobora.llm.near_dedup import near_query
 from corrobora.llm.packing import packing_query
 from corrobora.llm.quality_classifier import quality_query
 from corrobora.llm.quality_rules import rules_query
@@ -9,9 +11,11 @@ from corrobora.llm.token_shards import shards_query
 
 QUERIES = {
     "op1_quality_classifier": quality_query,
+    "op2_byte_bpe": bpe_query,
     "op3_token_shards": shards_query,
     "op7_quality_rules": rules_query,
     "op9_packing": packing_query,
+    "op10_simhash_near_dedup": near_query,
 }
 
 SQL: dict[str, str] = {}
