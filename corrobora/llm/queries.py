@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corrobora.llm.byte_bpe import bpe_query
 from corrobora.llm.fingerprints import fingerprints_query
+from corrobora.llm.licences import licences_query
 from corrobora.llm.line_dedup import lines_query
 from corrobora.llm.near_dedup import near_query
 from corrobora.llm.packing import packing_query
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_byte_bpe": bpe_query,
     "op3_token_shards": shards_query,
     "op4_fingerprints": fingerprints_query,
+    "op5_licences": licences_query,
     "op6_line_dedup": lines_query,
     "op7_quality_rules": rules_query,
     "op9_packing": packing_query,
