@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,17 +58,68 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_once(df: DataFrame, path: str, **options: str) -> None:
+    """Write ``df`` as Parquet and drop the shuffle files of doing so: what is read afterwards is the table."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
+
+
 def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, keeps column pruning and filter
     pushdown, and gives the planner the true size of the table. A table that
-    :func:`pin` returned is not written again.
+    :func:`pin` returned is not written again. Inside :func:`scratch` the table goes when the scope
+    ends; :func:`release` frees it earlier.
     """
-    path = scratch_path(df.sparkSession, name)
-    if getattr(df, "_pinned", False):
+    if getattr(df, "_pinned", None):
         return df
-    df.write.parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    write_once(df, path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
-    written._pinned = True
+    written._pinned = path
+    if _scopes:
+        _scopes[-1].append(written)
     return written
+
+
+def narrow(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a table, still known as pinned if it was: reading fewer columns needs no new copy."""
+    out = df.select(*columns)
+    out._pinned = getattr(df, "_pinned", None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete pinned tables that nothing will read any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_pinned", None)
+        if isinstance(path, str):
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A scope whose pinned tables are deleted at its end: read results before it closes.
+
+    >>> with scratch():
+    ...     vote_fuse(claims).write.parquet(path)
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        release(*_scopes.pop())
