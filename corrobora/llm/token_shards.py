@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corrobora.llm.common import in_document_order, load
 from corrobora.llm.encoding import vocabulary_path, word_encoder
-from corrobora.session import scratch_path
+from corrobora.session import scratch_path, write_once
 
 #: Ids after which a shard is closed, at the end of a document.
 SHARD_IDS = 1 << 20
@@ -188,7 +188,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_ids: int = S
         if pieces:
             yield pd.DataFrame([_shard_row(part, shard, bits, ids, pieces)])
 
-    in_document_order(docs).mapInPandas(build, SHARD).write.option("compression", "zstd").parquet(path)
+    write_once(in_document_order(docs).mapInPandas(build, SHARD), path, compression="zstd")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
