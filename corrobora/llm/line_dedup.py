@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrobora.llm.common import load, whole_text
 from corrobora.operators.joins import BROADCAST_BYTES, table_bytes
-from corrobora.session import pin
+from corrobora.session import pin, release
 
 #: Two lines match if their token sets have this Jaccard similarity or more: 4 / 5.
 OVER, UNDER = 4, 5
@@ -24,9 +25,10 @@ def _ceil(over: int, under: int, n: Column) -> Column:
     return F.floor((n * over + (under - 1)) / F.lit(under)).cast("int")
 
 
-def _hashes(line: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(line), _BLANKS), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _words(line: Column) -> Column:
+    """The words of a line, and perhaps empty strings; a single blank needs no regular expression."""
+    others = reduce(lambda x, y: x | y, (F.contains(line, F.lit(c)) for c in "\t\x0b\f\r"))
+    return F.when(others, F.split(line, _BLANKS)).otherwise(F.split(line, " "))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -37,24 +39,25 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> bytes:
     """One byte per hashed token bucket: twice the binary logarithm of the tokens in it, over the whole table."""
-    bucket = F.pmod(F.col("h"), F.lit(1 << RARITY_BITS)).cast("int")
-    tokens = docs.select(F.explode(_hashes(F.regexp_replace(whole_text(), "\n", " "))).alias("h"))
+    lines = docs.select(F.explode(F.split(whole_text(), "\n", -1)).alias("line"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("word")).filter("word <> ''")
+    tokens = words.select(F.pmod(F.xxhash64("word"), F.lit(1 << RARITY_BITS)).cast("int").alias("b"))
     table = bytearray(1 << RARITY_BITS)
-    for b, n in tokens.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect():
+    for b, n in tokens.groupBy("b").agg(F.count("*").alias("n")).collect():
         table[b] = min(63, int(2 * math.log2(n)))
     return bytes(table)
 
 
 def _codes(line: Column, ranks: bytes) -> Column:
     """The distinct tokens of a line as ascending integers: rarity above 56 bits of the token's hash."""
-    table = F.lit(bytearray(ranks))
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a constant
 
     def code(h: Column) -> Column:
-        at = F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int") + 1
-        rank = F.ascii(F.substring(table, at, F.lit(1)).cast("string")).cast("long")
+        rank = F.element_at(table, F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int") + 1)
         return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), code)))
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
 def _parity(codes: Column) -> Column:
@@ -105,17 +108,18 @@ def _possible(index: str, probe: str) -> Column:
 
 
 def _verified(docs: DataFrame, ranks: bytes, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cid, with_*): for each class in ``pairs`` (a, b) that has an earlier one with enough tokens in common, the earliest such line."""
+    """(cid, match): for each class in ``pairs`` (a, b) with an earlier one similar enough, the first line of the earliest.
+
+    Only the lines in question are read again; repeated rows repeat pairs, which changes no minimum.
+    """
     pairs = pin(pairs.distinct(), "pairs")
-    where = ["cid", "doc_id", "tag", "line_no", "n"]
     needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    needed = pin(classes.select(*where).join(needed, "cid"), "needed")
+    needed = pin(classes.select("cid", "tag", "line_no").join(needed, "cid"), "needed")
     small = table_bytes(needed) <= BROADCAST_BYTES
-    l, r = _rows(docs).alias("l"), (F.broadcast(needed) if small else needed).alias("r")
-    same = (F.col("l.tag") == F.col("r.tag")) & (F.col("l.line_no") == F.col("r.line_no")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-    found = l.join(r, same).select("r.*", "l.line").dropDuplicates(["cid"])
+    found = _rows(docs).join(F.broadcast(needed) if small else needed, ["tag", "line_no"])
+    found = found.select("cid", "doc_id", "tag", "line_no", _codes(F.col("line"), ranks).alias("codes"))
     place = F.struct("doc_id", "tag", "line_no").alias("place")
-    sets = pin(found.select("cid", place, "n", _codes(F.col("line"), ranks).alias("codes")), "sets")
+    sets = pin(found.select("cid", place, F.size("codes").alias("n"), "codes"), "sets")
     a, b = sets.alias("x"), sets.alias("y")
     both = pairs.join(a, F.col("a") == F.col("x.cid")).join(b, F.col("b") == F.col("y.cid"))
     shared = F.size(F.array_intersect("x.codes", "y.codes"))
@@ -123,7 +127,9 @@ def _verified(docs: DataFrame, ranks: bytes, classes: DataFrame, pairs: DataFram
     forward = F.col("x.place") < F.col("y.place")
     later = F.when(forward, F.col("b")).otherwise(F.col("a"))
     earlier = F.when(forward, F.col("x.place")).otherwise(F.col("y.place"))
-    return both.filter(enough).groupBy(later.alias("cid")).agg(F.min(earlier).alias("match"))
+    matches = pin(both.filter(enough).groupBy(later.alias("cid")).agg(F.min(earlier).alias("match")), "matches")
+    release(pairs, needed, sets)
+    return matches
 
 
 def later_matches(docs: DataFrame, ranks: bytes, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -155,12 +161,14 @@ def later_matches(docs: DataFrame, ranks: bytes, classes: DataFrame, crowd: int
     own = classes.select("cid", "n", "parity")
     need = _ceil(OVER, OVER + UNDER, F.col("n") + F.col("m"))
     alike = leader.join(own, F.col("a") == F.col("cid")).filter(F.bit_count(F.col("parity").bitwiseXOR(F.col("q"))) + 2 * need <= F.col("n") + F.col("m"))
-    decided = pin(_verified(docs, ranks, classes, alike.select("a", "b")), "decided")
+    decided = _verified(docs, ranks, classes, alike.select("a", "b"))
+    release(leader)
     open_ = met.join(decided.select("cid"), "cid", "left_anti")
     among = lambda rows: rows.filter(in_index)
     cold = join(index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti"))
     pairs = cold.select(*pair).unionByName(join(among(open_), met).select(*pair)).unionByName(join(among(met), open_).select(*pair))
     rest = _verified(docs, ranks, classes, pairs)
+    release(crowded, met)
     return decided.unionByName(rest).groupBy("cid").agg(F.min("match").alias("match"))
 
 
@@ -168,8 +176,8 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, n_lines, removed, matched): per row of ``docs`` the numbers of the lines that go.
 
     A line goes if an earlier one (by doc_id, then text hash, then line number)
-    has a token set with a Jaccard similarity of 0.8 or more; tokens are lower-cased and
-    blank-separated. ``matched`` lists a document with an earlier match for each. Lines without a token
+    has a token set with a Jaccard similarity of 0.8 or more; tokens are
+    separated by blanks, and case counts. ``matched`` lists a document with an earlier match for each. Lines without a token
     never go. Null texts count as empty, a null id sorts first; rows that
     repeat both id and text are one document; an empty table has no rows.
     """
@@ -178,7 +186,8 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     classes = _line_classes(lines)
     matches = later_matches(docs, ranks, classes)
     first = F.struct("doc_id", "tag", "line_no")
-    fates = classes.join(matches, "cid", "left").select("k1", "k2", first.alias("first"), "match")
+    fates = pin(classes.join(matches, "cid", "left").select("k1", "k2", first.alias("first"), "match"), "fates")
+    release(classes, matches)
     own = F.struct("doc_id", "tag", "line_no")
     judged = lines.select("doc_id", "tag", "line_no", "n", "k1", "k2").join(fates, ["k1", "k2"], "left")
     goes = (F.col("n") > 0) & (F.col("match").isNotNull() | ~F.col("first").eqNullSafe(own))

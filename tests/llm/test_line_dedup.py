@@ -10,7 +10,7 @@ def plain(docs):
     lines = []
     for doc_id, text in docs:
         for k, line in enumerate((text or "").split("\n")):
-            tokens = frozenset(line.lower().split())
+            tokens = frozenset(line.split())
             if tokens:
                 lines.append((doc_id, k, tokens))
     gone = {d: [] for d, _ in docs}
@@ -54,7 +54,7 @@ def test_decisions_against_all_pairs(spark, monkeypatch, crowd):
 def test_text_without_its_lines(spark):
     rows = [
         (5, "the same long line of words here\nown words only", "x", 9),
-        (2, "The same long line of words here\n\nother", "y", 9),
+        (2, "the same long line of words here\n\nother", "y", 9),
         (5, "the same long line of words here\nown words only", "x", 9),
         (None, None, "z", 9),
         (None, "other", "z", 9),
@@ -63,7 +63,7 @@ def test_text_without_its_lines(spark):
     got = sorted(map(tuple, ld.drop_lines(frame).collect()), key=str)
     want = [
         (5, "own words only", "x", 14),
-        (2, "The same long line of words here\n", "y", 33),
+        (2, "the same long line of words here\n", "y", 33),
         (5, "own words only", "x", 14),
         (None, None, "z", 9),
         (None, "other", "z", 9),
