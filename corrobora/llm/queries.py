@@ -11,6 +11,7 @@ from corrobora.llm.packing import packing_query
 from corrobora.llm.quality_classifier import quality_query
 from corrobora.llm.quality_rules import rules_query
 from corrobora.llm.token_shards import shards_query
+from corrobora.llm.warc import derivatives_query
 
 QUERIES = {
     "op1_quality_classifier": quality_query,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_licences": licences_query,
     "op6_line_dedup": lines_query,
     "op7_quality_rules": rules_query,
+    "op8_warc_derivatives": derivatives_query,
     "op9_packing": packing_query,
     "op10_simhash_near_dedup": near_query,
 }
