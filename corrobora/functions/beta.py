@@ -39,8 +39,8 @@ def _tail_fraction(x, a, b):
             change = c * d
             total = total * change
         if np.all(np.abs(change - 1.0) < 1e-15):
-            break
-    return total
+            return total
+    raise ArithmeticError("the continued fraction of the incomplete beta function did not settle")
 
 
 def beta_cdf(x, a, b):
@@ -71,7 +71,7 @@ def beta_ppf(prob, a, b):
         if np.all(np.abs(nxt - x) <= 1e-12 * x):
             return nxt
         x = nxt
-    return x
+    raise ArithmeticError("the search for the beta quantile did not settle")
 
 
 def beta_quantile(a: Column, b: Column, prob: float) -> Column:

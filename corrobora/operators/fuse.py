@@ -31,6 +31,19 @@ def top_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     return hashed.withColumn("_place", F.row_number().over(window)).filter("_place = 1").drop("_hash", "_place")
 
 
+def usable_weight(column: str) -> Column:
+    """The weight, or an error where it is null, NaN or negative: checked as the rows pass, without a pass of its own."""
+    w = F.col(column)
+    bad = w.isNull() | F.isnan(w.cast("double")) | (w < 0)
+    return F.when(bad, F.raise_error(F.lit(f"null, NaN or negative {column}")).cast("double")).otherwise(w)
+
+
+def usable_key(column: str) -> Column:
+    """The key column, or an error where it is null."""
+    k = F.col(column)
+    return F.when(k.isNull(), F.raise_error(F.lit(f"null {column}"))).otherwise(k)
+
+
 def fixed_point(weight: Column, bits: int = WEIGHT_BITS) -> Column:
     """Weight as a whole number of ``2**-bits`` (half-even), exact to add in any order.
 
@@ -48,7 +61,9 @@ def rank_fuse(
 ) -> DataFrame:
     """Value of the claim with the greatest policy tuple, per group."""
     needed = list(dict.fromkeys([*group, *policy, value]))
-    best = top_row(claims.select(*needed), group, policy)
+    checks = {c: usable_key for c in group} | ({"trust": usable_weight} if "trust" in policy else {})
+    rows = claims.select(*[checks[c](c).alias(c) if c in checks else F.col(c) for c in needed])
+    best = top_row(rows, group, policy)
     return best.select(*group, F.col(value).alias("value"))
 
 
@@ -81,9 +96,9 @@ def vote_state(
     value: str = "value",
 ) -> DataFrame:
     """Exact weight total ``votes`` (units of 2**-32) per group and value; mergeable."""
-    return claims.groupBy(*group, F.col(value).alias("value")).agg(
-        F.sum(fixed_point(F.col(weight))).alias("votes")
-    )
+    keys = [usable_key(c).alias(c) for c in group]
+    rows = claims.select(*keys, F.col(value).alias("value"), usable_weight(weight).alias("_weight"))
+    return rows.groupBy(*group, "value").agg(F.sum(fixed_point(F.col("_weight"))).alias("votes"))
 
 
 def vote_merge(*states: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
@@ -114,10 +129,9 @@ def vote_fuse_float(
     value: str = "value",
 ) -> DataFrame:
     """Weighted vote with double totals; near ties may depend on the order of addition."""
-    totals = claims.groupBy(*group, F.col(value).alias("value")).agg(
-        F.sum(F.col(weight).cast("double")).alias("votes")
-    )
-    return vote_winner(totals, group)
+    keys = [usable_key(c).alias(c) for c in group]
+    rows = claims.select(*keys, F.col(value).alias("value"), usable_weight(weight).cast("double").alias("_weight"))
+    return vote_winner(rows.groupBy(*group, "value").agg(F.sum("_weight").alias("votes")), group)
 
 
 def vote_share(

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.operators.evaluate import micro_prf
-from corrobora.operators.fuse import top_row, vote_fuse
+from corrobora.operators.fuse import fixed_point, top_row, vote_fuse
 from corrobora.operators.joins import lookup_join
-from corrobora.operators.trust import DELTA, PRIOR_A, PRIOR_B, adjudicate, trust_counts, trust_table
+from corrobora.operators.trust import DECAY_BITS, DELTA, PRIOR_A, PRIOR_B, trust_counts, trust_table
 from corrobora.schema import GROUP, SOURCE_FIELD
 from corrobora.session import pin
 
@@ -130,7 +130,9 @@ def windowed_trust(
     seen = later.withColumn("_p", F.explode(options)).filter("window <= _p.until")
     fade = F.exp(-F.col("_p.lam") * (F.col("_at") - F.col("window")))
     key = [F.col("_p.policy").alias("policy"), F.col("_p.mode").alias("mode"), F.col("_at").alias("window")]
-    sums = [F.sum(fade * F.col(c)).alias(c) for c in ("succ", "fail")]
+    unit = F.lit(float(2**DECAY_BITS))
+    exact = {c: fixed_point(fade, DECAY_BITS) * F.col(c).cast("decimal(15,0)") for c in ("succ", "fail")}
+    sums = [(F.sum(total).cast("double") / unit).alias(c) for c, total in exact.items()]
     names = ["policy", "mode", "window"]
     fine = seen.filter("not _p.pooled").groupBy(*key, "source_id", "field").agg(*sums)
     pooled = seen.filter("_p.pooled").groupBy(*key, "source_id").agg(*sums)
@@ -155,7 +157,8 @@ def prequential_backtest(
     ``claims`` carry a ``window`` 1..n. Labels do not depend on the fused
     values, so all windows and policies run as one job instead of a loop.
     """
-    prefixes = pin(prefix_claims(claims, n_windows), "prefixes")
+    labelled = lookup_join(claims, pin(silver.select(*GROUP), "groups"), list(GROUP), "left_semi")
+    prefixes = pin(prefix_claims(labelled, n_windows), "prefixes")
     evidence = pin(windowed_evidence(prefixes, silver), "evidence")
     trust = windowed_trust(evidence, policies, n_windows).withColumnRenamed("window", "as_of")
     names = [p.name for p in policies]
@@ -173,9 +176,13 @@ def prequential_backtest(
     return scores.select("policy", F.col("as_of").alias("window"), "F1", "n")
 
 
-def trust_trend(trust: DataFrame, watched: Sequence[str]) -> DataFrame:
-    """Mean trust of the watched sources per policy and window."""
-    chosen = trust.filter(F.col("source_id").isin(*watched))
+def trust_trend(trust: DataFrame, watched: Sequence[str], policies: Sequence[TrustPolicy] = ()) -> DataFrame:
+    """Mean trust of the watched sources per policy and window.
+
+    ``policies`` that pool the fields have no trust per field to follow and are left out.
+    """
+    pooled = [p.name for p in policies if p.per_source]
+    chosen = trust.filter(F.col("source_id").isin(*watched) & ~F.col("policy").isin(*pooled))
     return chosen.groupBy("policy", "window").agg(F.avg("trust").alias("mean_trust"))
 
 
@@ -214,7 +221,6 @@ def batch_summary(metrics: DataFrame, value: str, by: Sequence[str] = ()) -> Dat
 
 __all__ = [
     "TrustPolicy",
-    "adjudicate",
     "batch_summary",
     "heterogeneity",
     "mean_range",

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora.functions.text import norm_text
-from corrobora.operators.joins import hot_keys, lookup_join, salted_join
+from corrobora.operators.joins import lookup_join
 from corrobora.operators.order import with_row_index
 
 Normaliser = Callable[[Column], Column]
@@ -41,10 +41,12 @@ def multi_source(claims: DataFrame, least: int = 2) -> DataFrame:
 
 
 def dict_encode(claims: DataFrame, column: str = "value", code: str | None = None) -> DataFrame:
-    """Replace ``column`` by its 0-based position among the sorted distinct values."""
+    """Replace ``column`` by its 0-based position among the sorted distinct values; a null one by -1."""
     code = code or f"{column}_code"
-    values = with_row_index(claims.select(column).distinct(), [column], code).select(column, code)
-    return lookup_join(claims, values, [column], "inner").drop(column)
+    present = claims.select(column).filter(F.col(column).isNotNull()).distinct()
+    values = with_row_index(present, [column], code).select(column, code)
+    coded = lookup_join(claims, values, [column], "left").drop(column)
+    return coded.withColumn(code, F.coalesce(code, F.lit(-1).cast("long")))
 
 
 def replicate_claims(claims: DataFrame, n_rows: int, order: Sequence[str]) -> DataFrame:
@@ -109,11 +111,9 @@ def relation_profile(claims: DataFrame) -> DataFrame:
 
 __all__ = [
     "dict_encode",
-    "hot_keys",
     "multi_source",
     "relation_profile",
     "replicate_claims",
-    "salted_join",
     "split_claims",
     "unpivot_claims",
 ]

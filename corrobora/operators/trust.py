@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +12,7 @@ from corrobora.functions.beta import beta_quantile
 from corrobora.operators.fuse import fixed_point
 from corrobora.operators.joins import BROADCAST_BYTES, lookup_join
 from corrobora.schema import GROUP, SOURCE_FIELD
+from corrobora.session import narrow
 
 # The Beta(2, 2) prior and the default risk level of the lower bound.
 PRIOR_A = 2.0
@@ -101,8 +104,10 @@ def join_trust(
     ``how="inner"`` drops them instead.
     """
     default = prior_a / (prior_a + prior_b) if default is None else default
-    joined = lookup_join(claims, trust.select(*by, "trust"), by, how, max_bytes)
-    return joined.withColumn("trust", F.coalesce("trust", F.lit(float(default))))
+    joined = lookup_join(claims, narrow(trust, *by, "trust"), by, how, max_bytes)
+    known = [F.col(c).isNotNull() for c in by]
+    refused = F.raise_error(F.lit(f"null among {list(by)}")).cast("double")
+    return joined.withColumn("trust", F.when(reduce(and_, known), F.coalesce("trust", F.lit(float(default)))).otherwise(refused))
 
 
 def hit_rate(adjudications: DataFrame, by: Sequence[str] = ("source_id",), smooth: bool = True) -> DataFrame:

@@ -346,16 +346,19 @@ def _(spark, sf):
     return _round(trust.select("policy", "window", "source_id", "field", "trust"), "trust")
 
 
+POOLED = ", ".join(f"'{p.name}'" for p in POLICIES if p.per_source)
+
+
 @query(
     "trust_trend",
     assemble(
-        """SELECT policy, as_of AS "window", round(avg(trust), 6) AS mean_trust FROM drifttrust
-        WHERE source_id IN ('0', '3', '16') GROUP BY policy, as_of""",
+        f"""SELECT policy, as_of AS "window", round(avg(trust), 6) AS mean_trust FROM drifttrust
+        WHERE source_id IN ('0', '3', '16') AND policy NOT IN ({POOLED}) GROUP BY policy, as_of""",
         **_drift_parts(),
     ),
 )
 def _(spark, sf):
-    return _round(mo.trust_trend(_trust_by_window(spark, sf), ["0", "3", "16"]), "mean_trust")
+    return _round(mo.trust_trend(_trust_by_window(spark, sf), ["0", "3", "16"], POLICIES), "mean_trust")
 
 
 def _backtested(spark, sf) -> DataFrame:

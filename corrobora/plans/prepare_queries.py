@@ -106,11 +106,13 @@ def _(spark, sf):
     "dict_encode",
     assemble(
         """SELECT cluster_id, offer_id, source_id, ts, dense_rank() OVER (ORDER BY field) - 1 AS field_code,
-        dense_rank() OVER (ORDER BY value) - 1 AS value_code FROM offerclaims"""
+        CASE WHEN value IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY value NULLS LAST) - 1 END AS value_code
+        FROM (SELECT * REPLACE (CASE WHEN cluster_id % 5 <> 0 THEN value END AS value) FROM offerclaims)"""
     ),
 )
 def _(spark, sf):
-    return pp.dict_encode(pp.dict_encode(_offer_claims(spark, sf), "field"), "value")
+    holes = _offer_claims(spark, sf).withColumn("value", F.when(F.col("cluster_id") % 5 != 0, F.col("value")))
+    return pp.dict_encode(pp.dict_encode(holes, "field"), "value")
 
 
 @query(
@@ -228,12 +230,13 @@ CUSTOMERS = "SELECT 'A' || c_custkey AS l, 'B' || c_nationkey AS r FROM customer
 
 
 def _write_matches(spark, sf) -> str:
-    """Customers matched to nations, written as match files in three label spellings."""
+    """Customers matched to nations, written as match files under names and labels in several spellings."""
     root = scratch_path(spark, "matches")
     customer = tables.load(spark, sf, "customer")
     rich = F.col("c_acctbal") >= 0
     early = F.col("c_mktsegment") < "H"
-    for name, keep, spelling in (("train", early, "1"), ("test", ~early, "true")):
+    building = F.col("c_mktsegment") == "BUILDING"
+    for name, keep, spelling in (("train", early & ~building, "1"), ("Test", ~early, "true"), ("perfectMapping", building, "1.0")):
         pairs = customer.filter(keep).select(
             F.col("c_custkey").alias("ltable_id"),
             F.col("c_nationkey").alias("rtable_id"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corrobora.functions.text import norm_number, norm_text
@@ -127,17 +126,26 @@ def read_music_claims(
 
 
 # ------------------------------------------------------- two-table matches
-def read_match_pairs(spark: SparkSession, root: str, names: Sequence[str] = MATCH_FILES) -> DataFrame:
+def match_files(spark: SparkSession, root: str, names: Sequence[str] = MATCH_FILES) -> list[str]:
+    """The CSV files under ``root`` with one of ``names``, in whatever case they are spelled."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(root)
+    store = place.getFileSystem(context._jsc.hadoopConfiguration())
+    listed = store.listStatus(place) if store.exists(place) else []
+    wanted = {f"{name.lower()}.csv" for name in names}
+    return sorted(e.getPath().toString() for e in listed if e.getPath().getName().lower() in wanted)
+
+
+def read_match_pairs(
+    spark: SparkSession, root: str, names: Sequence[str] = MATCH_FILES, line_breaks: bool = False
+) -> DataFrame:
     """Distinct matched (lid, rid) pairs pooled from all match files under ``root``.
 
-    Where there is a label column, only true labels count. Missing files are skipped.
+    Where there is a label column, only true labels count. File names match in
+    any case, and every file found is read: one that cannot be is an error. Ids
+    hold no line breaks, so files are read in splits unless ``line_breaks`` says otherwise.
     """
-    found = []
-    for name in names:
-        try:
-            found.append(read_csv_strings(spark, f"{root}/{name}.csv"))
-        except AnalysisException:
-            continue
+    found = [read_csv_strings(spark, path, line_breaks) for path in match_files(spark, root, names)]
     if not found:
         raise ValueError(f"no match file under {root}")
     pooled = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
@@ -188,6 +196,7 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 __all__ = [
     "append_jsonl",
     "cluster_claims",
+    "match_files",
     "read_csv_strings",
     "read_match_pairs",
     "read_music_claims",

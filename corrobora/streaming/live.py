@@ -81,7 +81,7 @@ class LiveFusion:
     spark: SparkSession
     root: str
     silver: DataFrame
-    label_fraction: float = 0.2
+    label_fraction: float = 1.0
     delta: float = DELTA
     lam: float | None = None
     mode: str = "lcb"
