@@ -161,16 +161,32 @@ def abstain(winners: DataFrame, tau: float) -> DataFrame:
 
 
 # --------------------------------------------------------------- collapse
+def source_state(claims: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """How often, and when last, each source states each value of a group: a state that can be merged later."""
+    return claims.groupBy(*group, "source_id", "value").agg(
+        F.count("*").alias("n"), F.max("ts").alias("ts"), F.max("offer_id").alias("offer_id")
+    )
+
+
+def merge_source_states(state: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """One state from a union of several; the same as counting all their claims at once."""
+    return state.groupBy(*group, "source_id", "value").agg(
+        F.sum("n").alias("n"), F.max("ts").alias("ts"), F.max("offer_id").alias("offer_id")
+    )
+
+
+def collapse_state(state: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """One claim per (group, source) of a merged state: its most frequent value."""
+    best = top_row(state, [*group, "source_id"], ["n", "ts", "offer_id", "value"])
+    return best.select(*group, "source_id", "value", "ts", "offer_id")
+
+
 def collapse_per_source(claims: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """One claim per (group, source): its most frequent value.
 
     Ties go to the newest, then the greatest offer id, then the greatest value.
     """
-    per_value = claims.groupBy(*group, "source_id", "value").agg(
-        F.count("*").alias("_n"), F.max("ts").alias("ts"), F.max("offer_id").alias("offer_id")
-    )
-    best = top_row(per_value, [*group, "source_id"], ["_n", "ts", "offer_id", "value"])
-    return best.select(*group, "source_id", "value", "ts", "offer_id")
+    return collapse_state(source_state(claims, group), group)
 
 
 # ------------------------------------------------------------- comparison

@@ -25,7 +25,16 @@ from corrobora.plans.sqlparts import (
     windows_part,
 )
 from corrobora.session import pin, scratch_path
-from corrobora.streaming.live import LiveFusion, label_sample, stream_trust
+from corrobora.streaming.live import (
+    BatchTable,
+    LiveFusion,
+    bounded_claims,
+    label_sample,
+    latest,
+    stream_rank,
+    stream_trust,
+    upsert,
+)
 
 SEEDS = (0, 1, 2)
 N_TRUST = 100
@@ -419,20 +428,25 @@ def _(spark, sf):
 
 # ----------------------------------------------------------------- streams
 N_BATCHES = 8
+FILES = 4
 FRACTION = 0.2
 
 
+def _arrivals(spark, cut: DataFrame, copies: int = 1) -> DataFrame:
+    """A stream of the batches of ``cut``: one job writes each as FILES files, so that as many tasks read it."""
+    folder = scratch_path(spark, "arrivals")
+    for b in range(1, N_BATCHES + 1):
+        for _ in range(copies):
+            cut.filter(F.col("batch") == b).repartition(FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", FILES * copies).parquet(folder)
+
+
 def _batches(spark, sf):
-    """Event claims cut into batches, written one file per batch in order, and their labels."""
+    """Event claims cut into batches that arrive in order, and their labels."""
     claims = tables.event_claims(spark, sf)
     _, silver, _ = me.prepare(claims)
     cut = pin(time_windows(claims, N_BATCHES, name="batch"))
-    folder = scratch_path(spark, "arrivals")
-    for b in range(1, N_BATCHES + 1):
-        cut.filter(F.col("batch") == b).coalesce(1).write.mode("append").parquet(folder)
-    schema = cut.schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return stream, cut, silver
+    return _arrivals(spark, cut), cut, silver
 
 
 def _run(live: LiveFusion, stream: DataFrame, step=None) -> LiveFusion:
@@ -494,26 +508,81 @@ def _(spark, sf):
         label_sample(FRACTION, F.col("batch") - 1)
     )
     judged = revealed.select("batch", "source_id", "field", (F.col("value") == F.col("label")).cast("byte").alias("x"))
-    folder, out = scratch_path(spark, "judged"), scratch_path(spark, "trust")
-    judged.repartition("batch").write.parquet(folder)
-    outcomes = spark.readStream.schema(judged.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    running = (
-        stream_trust(outcomes)
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(out))
-        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    folder = scratch_path(spark, "judged")
+    judged.write.parquet(folder)
+    outcomes = spark.readStream.schema(judged.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    table = BatchTable(spark, scratch_path(spark, "trust"))
+    _follow(spark, stream_trust(outcomes), "update", upsert(table))
+    return latest(table, ["source_id", "field"])
+
+
+def _follow(spark, changes: DataFrame, mode: str, sink) -> None:
+    """Run a stream to the end of what has arrived."""
+    writer = changes.writeStream.outputMode(mode).foreachBatch(sink)
+    running = writer.option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.parquet(out)
+
+
+STEADY = "SELECT *, (CAST(source_id AS BIGINT) + 1) / 32.0 AS trust FROM stream"
+
+
+@query("stream_rank", assemble("SELECT cluster_id, field, value FROM ranked", steady=STEADY, ranked=rank_sql("steady")))
+def _(spark, sf):
+    stream, _, _ = _batches(spark, sf)
+    table = BatchTable(spark, scratch_path(spark, "rank"))
+    ranked = stream_rank(stream.withColumn("trust", (F.col("source_id").cast("long") + 1) / 32.0))
+    _follow(spark, ranked, "update", upsert(table))
+    return latest(table, ["cluster_id", "field"])
+
+
+@query("bounded_claims", assemble("SELECT cluster_id, field, value, source_id, ts, offer_id FROM stream"))
+def _(spark, sf):
+    cut = pin(time_windows(tables.event_claims(spark, sf), N_BATCHES, name="batch"))
+    timed = _arrivals(spark, cut, copies=2).withColumn("at", F.timestamp_micros((F.col("ts") * 1000000).cast("long")))
+    table = BatchTable(spark, scratch_path(spark, "unique"))
+    _follow(spark, bounded_claims(timed, "at", "3650 days"), "append", upsert(table))
+    return table.all().select("cluster_id", "field", "value", "source_id", "ts", "offer_id")
+
+
+@query(
+    "stream_prefix_fuse",
+    assemble(
+        "SELECT * FROM prefixwon",
+        **_stream_parts(),
+        colla=collapse_sql("stream"),
+        weigha=f"""SELECT c.cluster_id, c.field, c.value, coalesce(t.trust, 0.5) AS trust FROM colla c
+          LEFT JOIN trustb t ON t.b = {N_BATCHES - 1} AND t.source_id = c.source_id AND t.field = c.field""",
+        prefixwon=vote_sql("weigha"),
+    ),
+)
+def _(spark, sf):
+    return _live(spark, sf).canonical()
+
+
+@query(
+    "stream_late_labels",
+    assemble(
+        f"SELECT source_id, field, {COUNTS} FROM judgeda GROUP BY ALL",
+        colla=collapse_sql("stream"),
+        judgeda="""SELECT c.source_id, c.field, CAST(c.value = s.value AS BIGINT) AS x
+          FROM colla c JOIN streamsilver s USING (cluster_id, field)""",
+    ),
+)
+def _(spark, sf):
+    stream, cut, silver = _batches(spark, sf)
+    live = _run(LiveFusion(spark, scratch_path(spark, "live"), silver.limit(0)), stream)
+    folder = scratch_path(spark, "labels")
+    silver.repartition(2 * FILES).write.parquet(folder)
+    labels = spark.readStream.schema(silver.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    _follow(spark, labels, "append", live.learn_labels)
+    return live.evidence()
 
 
 @query(
     "stream_state_merge",
     assemble(
         """SELECT cluster_id, field, r.value AS by_rank, v.value AS by_vote FROM ranked r JOIN voted v USING (cluster_id, field)""",
-        steady="SELECT *, (CAST(source_id AS BIGINT) + 1) / 32.0 AS trust FROM stream",
+        steady=STEADY,
         ranked=rank_sql("steady"),
         voted=vote_sql("steady"),
     ),

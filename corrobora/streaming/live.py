@@ -8,23 +8,28 @@ restarted query neither loses nor double-counts anything.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corrobora.functions.ids import sampled
 from corrobora.operators.evaluate import micro_prf
 from corrobora.operators.fuse import (
-    collapse_per_source,
+    collapse_state,
+    merge_source_states,
     rank_merge,
     rank_state,
+    source_state,
+    top_row,
     vote_fuse,
     vote_merge,
     vote_state,
     vote_winner,
 )
+from corrobora.operators.joins import lookup_join
 from corrobora.operators.trust import (
     DELTA,
     adjudicate,
@@ -34,6 +39,7 @@ from corrobora.operators.trust import (
     trust_table,
 )
 from corrobora.schema import GROUP, POLICY, SOURCE_FIELD
+from corrobora.session import pin, release
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -43,25 +49,55 @@ def written(df: DataFrame) -> DataFrame:
 
 
 class BatchTable:
-    """A table written one micro-batch at a time: ``<root>/batch_id=<n>``."""
+    """A table written one micro-batch at a time: ``<root>/batch_id=<n>``.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    A table of states can be folded: every ``fold_every`` batches the merged state
+    of all batches so far is written beside it, so that reading the whole
+    costs one snapshot and at most ``fold_every`` batches.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFrame] | None = None, fold_every: int = 16):
+        self.spark, self.root, self.merge, self.fold_every = spark, root, merge, fold_every
 
     def path(self, batch_id: int) -> str:
         return f"{self.root}/batch_id={batch_id}"
 
     def put(self, batch_id: int, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(batch_id))
-        return written(self.spark.read.schema(df.schema).parquet(self.path(batch_id)))
+        if self.merge and (batch_id + 1) % self.fold_every == 0:
+            self._snapshots().put(batch_id, self.merge(self._upto(batch_id, batch_id - self.fold_every)))
+        return self.get(batch_id, df.schema)
 
-    def get(self, batch_id: int) -> DataFrame:
-        return written(self.spark.read.parquet(self.path(batch_id)))
+    def get(self, batch_id: int, schema=None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        return written(reader.parquet(self.path(batch_id)))
 
     def all(self) -> DataFrame:
         """Every batch, with its number as ``batch_id``."""
         return self.spark.read.option("basePath", self.root).parquet(self.root)
 
+    def merged(self) -> DataFrame:
+        """The state of all batches so far: the last snapshot and the batches after it."""
+        last = self.last()
+        return self.merge(self._upto(last, (last + 1) // self.fold_every * self.fold_every - 1))
+
+    def last(self) -> int:
+        """The number of the newest batch."""
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        listed = place.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(place)
+        names = [e.getPath().getName() for e in listed]
+        return max(int(n.partition("=")[2]) for n in names if n.startswith("batch_id="))
+
+    def _snapshots(self) -> BatchTable:
+        return BatchTable(self.spark, f"{self.root}_snapshot")
+
+    def _upto(self, last: int, snapshot: int) -> DataFrame:
+        parts = [self.get(b) for b in range(snapshot + 1, last + 1)]
+        if snapshot >= 0:
+            parts.append(self._snapshots().get(snapshot))
+        return reduce(DataFrame.unionByName, parts)
+
 
 def label_sample(fraction: float, batch: Column | int) -> Column:
     """Which labels are revealed with a batch: a fixed pseudo-random ``fraction`` of the groups."""
@@ -88,8 +124,11 @@ class LiveFusion:
     tables: dict[str, BatchTable] = field(init=False)
 
     def __post_init__(self) -> None:
-        names = ("fused", "state", "metrics", "rank_state", "vote_state")
-        self.tables = {n: BatchTable(self.spark, f"{self.root}/{n}") for n in names}
+        merges = {
+            "fused": None, "state": None, "metrics": None, "late": None,
+            "rank_state": rank_merge, "vote_state": vote_merge, "claims": merge_source_states,
+        }
+        self.tables = {n: BatchTable(self.spark, f"{self.root}/{n}", merge) for n, merge in merges.items()}
 
     # ------------------------------------------------------------- batches
     def state_before(self, batch_id: int) -> DataFrame | None:
@@ -101,17 +140,41 @@ class LiveFusion:
         return self.tables["state"].get(batch_id - 1) if batch_id else None
 
     def fuse_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Fuse one micro-batch, then learn from the labels it reveals."""
+        """Fuse one micro-batch, then learn from the labels it reveals.
+
+        The labels of the batch's groups are fetched once, for learning and for scoring.
+        """
         old = self.state_before(batch_id)
-        collapsed = collapse_per_source(batch).persist()
-        try:
-            weighted = collapsed.withColumn("trust", F.lit(0.5)) if old is None else join_trust(collapsed, old)
-            fused = self.tables["fused"].put(batch_id, vote_fuse(weighted))
-            revealed = self.silver.filter(label_sample(self.label_fraction, batch_id))
-            state = self._learn(adjudicate(collapsed, revealed), collapsed, old, batch_id)
-            self._measure(batch, fused, state, batch_id)
-        finally:
-            collapsed.unpersist()
+        seen = self.tables["claims"].put(batch_id, source_state(batch))
+        collapsed = pin(collapse_state(seen), "collapsed")
+        weighted = collapsed.withColumn("trust", F.lit(0.5)) if old is None else join_trust(collapsed, old)
+        fused = self.tables["fused"].put(batch_id, vote_fuse(weighted))
+        groups = pin(fused.select(*GROUP), "groups")
+        labels = pin(lookup_join(self.silver, groups, list(GROUP), "left_semi"), "labels")
+        revealed = labels.filter(label_sample(self.label_fraction, batch_id))
+        state = self._learn(adjudicate(collapsed, revealed), collapsed, old, batch_id)
+        self._measure(seen, fused, labels, state, batch_id)
+        release(collapsed, groups, labels)
+
+    def learn_labels(self, labels: DataFrame, batch_id: int) -> None:
+        """Learn from a micro-batch of labels that come later than their claims.
+
+        Each label is held against everything seen of its group so far. The
+        outcomes are kept per batch of labels and added by :meth:`evidence`.
+        """
+        truth = pin(labels.select(*GROUP, "value").dropDuplicates(list(GROUP)), "late")
+        groups = pin(truth.select(*GROUP), "groups")
+        seen = lookup_join(self.tables["claims"].merged(), groups, list(GROUP), "left_semi")
+        self.tables["late"].put(batch_id, trust_counts(adjudicate(collapse_state(seen), truth)))
+        release(truth, groups)
+
+    def evidence(self) -> DataFrame:
+        """Success and failure counts per (source, field): the last state, and all late labels."""
+        state = self.tables["state"]
+        counts = state.get(state.last()).select(*SOURCE_FIELD, "succ", "fail")
+        late = self.tables["late"].all().select(*SOURCE_FIELD, "succ", "fail")
+        both = counts.unionByName(late).groupBy(*SOURCE_FIELD)
+        return both.agg(F.sum("succ").alias("succ"), F.sum("fail").alias("fail"))
 
     def _learn(
         self, judged: DataFrame, collapsed: DataFrame, old: DataFrame | None, batch_id: int
@@ -145,12 +208,11 @@ class LiveFusion:
         trust = trust_table(merged, self.mode, self.delta, by=extras)
         return self.tables["state"].put(batch_id, trust.select(*extras, "trust").withColumn("t_ref", now))
 
-    def _measure(self, batch: DataFrame, fused: DataFrame, state: DataFrame, batch_id: int) -> None:
+    def _measure(self, seen: DataFrame, fused: DataFrame, labels: DataFrame, state: DataFrame, batch_id: int) -> None:
         """One line of quality and volume per batch."""
-        labelled = self.silver.join(fused.select(*GROUP), list(GROUP), "left_semi")
         facts = [
-            batch.agg(F.count("*").alias("batch_rows")),
-            micro_prf(fused, labelled).select("F1", F.col("n").alias("n_eval")),
+            seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("batch_rows")),
+            micro_prf(fused, labels).select("F1", F.col("n").alias("n_eval")),
             state.agg(
                 F.coalesce(F.sum(F.col("new_succ") + F.col("new_fail")), F.lit(0.0)).alias("updates"),
                 F.count("*").alias("trust_pairs"),
@@ -169,12 +231,16 @@ class LiveFusion:
     # -------------------------------------------------------------- results
     def canonical_by_rank(self, policy=POLICY) -> DataFrame:
         """Rank winners over all batches so far."""
-        merged = rank_merge(self.tables["rank_state"].all().drop("batch_id"), policy=policy)
-        return merged.select(*GROUP, "value")
+        return rank_merge(self.tables["rank_state"].merged(), policy=policy).select(*GROUP, "value")
 
     def canonical_by_vote(self) -> DataFrame:
-        """Vote winners over all batches so far."""
-        return vote_winner(vote_merge(self.tables["vote_state"].all().drop("batch_id")))
+        """Vote winners over all batches so far, each claim at the weight it arrived with."""
+        return vote_winner(self.tables["vote_state"].merged())
+
+    def canonical(self) -> DataFrame:
+        """Everything seen so far, collapsed per source and voted on with the trust learned by now."""
+        state = self.tables["state"]
+        return vote_fuse(join_trust(collapse_state(self.tables["claims"].merged()), state.get(state.last())))
 
     def start(self, claims: DataFrame, step: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
         """Writer that applies ``step`` (default :meth:`fuse_batch`) to each micro-batch of ``claims``."""
@@ -184,6 +250,23 @@ class LiveFusion:
         )
 
 
+def batch_latency(running: StreamingQuery, spark: SparkSession) -> DataFrame:
+    """(batch, batch_rows, latency_s) of the query's latest batches, numbered 1..n, as the engine timed them."""
+    timed = [p for p in running.recentProgress if p["numInputRows"]]
+    rows = [(int(p["batchId"]) + 1, int(p["numInputRows"]), p["durationMs"]["triggerExecution"] / 1000.0) for p in timed]
+    return spark.createDataFrame(rows, "batch long, batch_rows long, latency_s double")
+
+
+def upsert(table: BatchTable) -> Callable[[DataFrame, int], None]:
+    """A sink for update mode: each batch writes only the rows that changed."""
+    return lambda changed, batch_id: table.put(batch_id, changed) and None
+
+
+def latest(table: BatchTable, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key in a table that :func:`upsert` wrote."""
+    return top_row(table.all(), keys, ["batch_id"]).drop("batch_id")
+
+
 def stream_trust(adjudications: DataFrame) -> DataFrame:
     """Streaming success and failure counts per (source, field): two long sums of state each."""
     hit = F.col("x").cast("long")
