@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora.functions.ids import portable_hash
 from corrobora.operators.evaluate import quality
-from corrobora.operators.fuse import collapse_per_source, rank_fuse, vote_fuse
+from corrobora.operators.fuse import collapse_per_source, fixed_point, rank_fuse, vote_fuse
 from corrobora.operators.joins import lookup_join
 from corrobora.operators.order import with_row_index
 from corrobora.operators.silver import PANEL_SIZE, gold_panel, silver_labels
@@ -23,7 +23,7 @@ from corrobora.operators.trust import (
     trust_table,
 )
 from corrobora.schema import GROUP, SOURCE_FIELD
-from corrobora.session import pin
+from corrobora.session import bucketed, pin
 
 # Decay rate per unit of ts, start weight and rounds of truth discovery,
 # the weight of a source without evidence.
@@ -31,6 +31,8 @@ LAMBDA = 3.0
 EM_INIT = 0.8
 EM_ROUNDS = 10
 COLD = 0.5
+#: Cells of a grid that one aggregation takes.
+CELLS = 32
 
 RECENCY_POLICY = ("ts", "offer_id", "value")
 RANK_METHODS = ("source_priority", "rank_mean", "rank_map", "rank_lcb")
@@ -101,18 +103,14 @@ def em_truth(
 ) -> DataFrame:
     """Iterative truth discovery: vote, re-weigh each source by its agreement, repeat.
 
-    The claims are hashed and sorted by group once and cached, so the votes and
-    the agreement join of every round need no further shuffle of claims, and the
-    join no sort of them; only the per-source weights move. Collapsed claims have
-    at most one row per source in a group, which bounds what one partition gets.
-    Returns the last vote.
+    The claims are written once, bucketed and sorted by group, to the shared
+    folder, with as many buckets as their size asks for. The votes and the
+    agreement join of every round then need no shuffle of claims; only
+    the per-source weights move. Collapsed claims have at most one row per source
+    in a group, which bounds what one bucket gets. Returns the last vote.
     """
     keys = [*by, *GROUP]
-    parts = int(collapsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = collapsed.select(*keys, "source_id", "value").repartition(parts, *keys)
-    work = work.sortWithinPartitions(*keys).persist()
-    try:
-        work.count()  # a filled cache lets the planner see its partitioning
+    with bucketed(collapsed.select(*keys, "source_id", "value"), keys) as work:
         weights = None
         for step in range(n_iter):
             weighted = (
@@ -124,8 +122,6 @@ def em_truth(
             if step < n_iter - 1:
                 weights = pin(hit_rate(adjudicate_fused(work, truth, keys), [*by, "source_id"]), "weights")
         return pin(truth, "truth")
-    finally:
-        work.unpersist()
 
 
 def adjudicate_fused(claims: DataFrame, fused: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -191,12 +187,58 @@ def method_weights(
     return pin(reduce(DataFrame.unionByName, tables), "weights")
 
 
-def weigh(claims: DataFrame, methods: Sequence[str], weights: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Each claim once per method with that method's weight (cold pairs 0.5, majority 1)."""
-    spread = claims.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    joined = lookup_join(spread, weights, [*by, "method", *SOURCE_FIELD], "left")
-    default = F.when(F.col("method") == "cluster_majority", F.lit(1.0)).otherwise(F.lit(COLD))
-    return joined.withColumn("trust", F.coalesce("trust", default))
+def grid_weights(weights: DataFrame, by: Sequence[str], cells: Sequence[tuple]) -> DataFrame:
+    """One row per (source, field) with ``w``: an array of the weight in each cell of the grid.
+
+    ``cells`` lists the values of ``by``. A cell without evidence has weight 0.5, or 1 for the majority vote.
+    """
+    place = spread_cells(weights.sparkSession, by, cells)
+    known = weights.join(F.broadcast(place), list(by)).groupBy(*SOURCE_FIELD)
+    found = known.agg(F.map_from_entries(F.collect_list(F.struct("_cell", "trust"))).alias("_known"))
+    w = F.array(*[F.coalesce(F.try_element_at("_known", F.lit(i)), F.lit(cold)) for i, cold in enumerate(cold_weights(by, cells))])
+    return found.select(*SOURCE_FIELD, w.alias("w"))
+
+
+def cold_weights(by: Sequence[str], cells: Sequence[tuple]) -> list[float]:
+    return [1.0 if "cluster_majority" in cell else COLD for cell in cells]
+
+
+def spread_cells(spark, by: Sequence[str], cells: Sequence[tuple]) -> DataFrame:
+    """(by, _cell): the grid as a table, for lookups by its values."""
+    kinds = {"seed": "long", "budget": "long", "method": "string"}
+    rows = [(*cell, i) for i, cell in enumerate(cells)]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in by) + ", _cell int")
+
+
+def grid_fuse(
+    claims: DataFrame, weights: DataFrame | None, by: Sequence[str], cells: Sequence[tuple], rank: bool = False
+) -> DataFrame:
+    """The winner of every group in every cell of a grid of weights: (by, group, value).
+
+    The grid is columns: a claim stays one row with one weight per cell, and each
+    cell is one aggregate among many over the same shuffle. Cells are taken
+    :data:`CELLS` at a time; only winners, one per group and cell, become rows.
+    """
+    cold = F.array(*[F.lit(w) for w in cold_weights(by, cells)])
+    if weights is None:
+        weighed = claims.withColumn("w", cold)
+    else:
+        weighed = lookup_join(claims, grid_weights(weights, by, cells), SOURCE_FIELD, "left").withColumn("w", F.coalesce("w", cold))
+    if len(cells) > CELLS:
+        weighed = pin(weighed, "weighed")
+    out = []
+    for start in range(0, len(cells), CELLS):
+        part = list(enumerate(cells))[start : start + CELLS]
+        if rank:
+            best = weighed.groupBy(*GROUP).agg(*[
+                F.max(F.struct(F.col("w")[i].alias("w"), "ts", "value", "offer_id")).alias(f"b{i}") for i, _ in part
+            ])
+        else:
+            votes = weighed.groupBy(*GROUP, "value").agg(*[F.sum(fixed_point(F.col("w")[i])).alias(f"v{i}") for i, _ in part])
+            best = votes.groupBy(*GROUP).agg(*[F.max(F.struct(f"v{i}", "value")).alias(f"b{i}") for i, _ in part])
+        rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(by, cell)], F.col(f"b{i}.value").alias("value")) for i, cell in part]
+        out.append(best.select(*GROUP, F.inline(F.array(*rows))).select(*by, *GROUP, "value"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _spread_labels(silver: DataFrame, methods: Sequence[str]) -> DataFrame:
@@ -215,13 +257,13 @@ def compare_methods(
 ) -> DataFrame:
     """Learn every method on the train clusters, fuse and score on the test clusters.
 
-    Returns (seed, method, P, R, F1, EM). All vote methods of all seeds are one
-    aggregation over claims tagged with (seed, method), all rank methods
-    another; labelled groups suffice for both. Only truth discovery learns from
-    unlabelled test claims too.
+    Returns (seed, method, P, R, F1, EM). All vote methods of all seeds are columns of one
+    aggregation over the claims of labelled groups, all rank methods of another.
+    Only truth discovery learns from unlabelled test claims too, and
+    takes them once per seed.
     """
     split = pin(cluster_split(silver, n_trust, seeds), "split")
-    halves = {p: split.filter(F.col("part") == p).select("seed", "cluster_id") for p in ("train", "test")}
+    halves = {p: pin(split.filter(F.col("part") == p).select("seed", "cluster_id"), p) for p in ("train", "test")}
     judged = pin(adjudicate(collapsed, silver), "judged")
     train = pin(lookup_join(judged, halves["train"], ["cluster_id"], "inner"), "train")
     test = lookup_join(judged, halves["test"], ["cluster_id"], "inner")
@@ -239,21 +281,18 @@ def compare_methods(
         test,
     ) if set(learned) - {"cluster_majority"} else None
 
-    labelled = pin(collapsed.join(labels.select("seed", *GROUP), list(GROUP)), "labelled")
+    groups = pin(labels.select(*GROUP).distinct(), "groups")
+    labelled = pin(lookup_join(collapsed, groups, list(GROUP), "left_semi"), "labelled")
     keys = ["seed", "method", *GROUP]
     fused = []
-    ranks = [m for m in RANK_METHODS if m in include]
-    votes = [m for m in VOTE_METHODS if m in include]
-    if ranks:
-        fused.append(rank_fuse(weigh(labelled, ranks, weights, ["seed"]), group=keys))
-    if votes and weights is not None:
-        fused.append(vote_fuse(weigh(labelled, votes, weights, ["seed"]), group=keys))
-    elif votes:
-        even = labelled.withColumn("trust", F.lit(1.0)).withColumn("method", F.lit("cluster_majority"))
-        fused.append(vote_fuse(even, group=keys))
+    for form, wanted in ((True, RANK_METHODS), (False, VOTE_METHODS)):
+        cells = [(int(seed), m) for seed in seeds for m in wanted if m in include]
+        if cells:
+            fused.append(grid_fuse(labelled, weights, ["seed", "method"], cells, rank=form))
     if "recency_first" in include:
-        newest = rank_fuse(labelled, RECENCY_POLICY, ["seed", *GROUP])
-        fused.append(newest.withColumn("method", F.lit("recency_first")).select(*keys, "value"))
+        newest = rank_fuse(labelled, RECENCY_POLICY)
+        seed = F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds]))
+        fused.append(newest.withColumn("method", F.lit("recency_first")).withColumn("seed", seed).select(*keys, "value"))
     if "em_truth" in include:
         unseen = lookup_join(collapsed, halves["test"], ["cluster_id"], "inner")
         found = em_truth(unseen, em_iters, by=["seed"])
@@ -277,7 +316,7 @@ def budget_curve(
 
     A pool of ``max(budgets)`` clusters is set aside; each (budget, seed) learns
     from that many pool clusters. The whole grid is one learning job, one vote
-    and one scoring job, with the grid as columns.
+    and one scoring job: weights are arrays over the grid, votes columns, and only labels and winners become rows.
     """
     split = pin(cluster_split(silver, max(budgets), [split_seed]), "split")
     pool = split.filter("part = 'train'").select("cluster_id")
@@ -296,12 +335,13 @@ def budget_curve(
 
     test = split.filter("part = 'test'").select("cluster_id")
     labels = pin(lookup_join(silver, test, ["cluster_id"], "left_semi"), "labels")
-    labelled = pin(collapsed.join(labels.select(*GROUP), list(GROUP), "left_semi"), "labelled")
+    labelled = pin(lookup_join(collapsed, pin(labels.select(*GROUP), "groups"), list(GROUP), "left_semi"), "labelled")
 
     def grid(df: DataFrame) -> DataFrame:
         return df.withColumn("budget", budget).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
 
-    pred = vote_fuse(weigh(grid(labelled), methods, weights, by), group=[*by, "method", *GROUP])
+    cells = [(int(b), int(s), m) for b in budgets for s in seeds for m in methods]
+    pred = grid_fuse(labelled, weights, [*by, "method"], cells)
     scores = quality(pred, _spread_labels(grid(labels), methods), [*by, "method"])
     evidence = trust_counts(train, by=[*by, *SOURCE_FIELD]).groupBy(*by).agg(
         F.avg(F.col("succ") + F.col("fail")).alias("mean_n_eff")

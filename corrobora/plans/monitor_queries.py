@@ -191,8 +191,8 @@ def _(spark, sf):
 
 
 BUDGETS = (25, 50, 100)
-BUDGET_SEEDS = tuple(range(5))
-BUDGET_METHODS = ("weighted_vote_global", "weighted_vote_field", "vote_mean")
+BUDGET_SEEDS = tuple(range(10))
+BUDGET_METHODS = ("weighted_vote_global", "weighted_vote_field", "vote_mean", "vote_lcb", "vote_lcb_decay")
 
 
 def _budget_sql() -> str:
@@ -207,6 +207,10 @@ def _budget_sql() -> str:
         "btrain": "SELECT c.budget, c.seed, a.* FROM adj a JOIN chosen c USING (cluster_id)",
         "bcounts": f"SELECT budget, seed, source_id, field, {COUNTS} FROM btrain GROUP BY ALL",
         "b_mean": f"SELECT budget, seed, source_id, field, {MEAN} AS trust FROM bcounts",
+        "b_lcb": lcb_sql("bcounts", "budget, seed, source_id, field"),
+        "bfaded": f"""SELECT budget, seed, source_id, field, {DECAYED} FROM (
+          SELECT *, exp(-1e-8 * greatest((SELECT max(ts) FROM collapsed) - ts, 0.0)) AS w FROM btrain) GROUP BY ALL""",
+        "b_lcbfade": lcb_sql("bfaded", "budget, seed, source_id, field"),
         "b_rate": "SELECT budget, seed, source_id, (sum(x) + 1.0) / (count(*) + 2.0) AS trust FROM btrain GROUP BY ALL",
         "b_ratefield": "SELECT budget, seed, source_id, field, CAST(sum(x) AS DOUBLE) / count(*) AS trust FROM btrain GROUP BY ALL",
         "bgoal": f"SELECT s.* FROM silver s JOIN place p USING (cluster_id) WHERE p.place > {max(BUDGETS)}",
@@ -214,6 +218,7 @@ def _budget_sql() -> str:
           (SELECT DISTINCT budget, seed FROM chosen) g""",
     }
     parts = {"weighted_vote_global": ("b_rate", False), "weighted_vote_field": ("b_ratefield", True), "vote_mean": ("b_mean", True)}
+    parts |= {"vote_lcb": ("b_lcb", True), "vote_lcb_decay": ("b_lcbfade", True)}
     for name, (table, by_field) in parts.items():
         on = "c.budget = t.budget AND c.seed = t.seed AND c.source_id = t.source_id" + (" AND c.field = t.field" if by_field else "")
         extra[f"bw_{name}"] = f"""SELECT c.budget, c.seed, c.cluster_id, c.field, c.value, coalesce(t.trust, 0.5) AS trust
@@ -236,7 +241,7 @@ def _budget_sql() -> str:
 @query("budget_curve", _budget_sql())
 def _(spark, sf):
     collapsed, silver, _ = me.prepare(tables.claims(spark, sf))
-    curve = me.budget_curve(collapsed, silver, BUDGETS, BUDGET_SEEDS, BUDGET_METHODS)
+    curve = me.budget_curve(collapsed, silver, BUDGETS, BUDGET_SEEDS, BUDGET_METHODS, lam=1e-8)
     return _round(curve, "F1", "EM", "mean_n_eff")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +108,28 @@ def release(*tables: DataFrame) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def bucketed(df: DataFrame, keys: Sequence[str], bucket_bytes: int = 64 << 20) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``keys``; dropped when the scope ends.
+
+    Bucket count from the size that the planner knows of ``df`` (exact for pinned
+    tables), at least one per core. Aggregations and joins on the keys read it without a shuffle.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // bucket_bytes))
+    name, path = f"bucketed_{uuid.uuid4().hex}", scratch_path(spark, "bucketed")
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    table = spark.table(name)
+    try:
+        yield table
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        table._pinned = path
+        release(table)
+
+
 _scopes: list[list[DataFrame]] = []
 
 
