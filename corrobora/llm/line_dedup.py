@@ -16,7 +16,7 @@ OVER, UNDER = 4, 5
 #: Token counts are kept in so many hashed buckets; only the order of tokens depends on them.
 RARITY_BITS = 18
 #: Lines with one indexed token, beyond which they are first held against the earliest of them.
-CROWD = 64
+CROWD = 32
 
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
@@ -60,15 +60,29 @@ def _codes(line: Column, ranks: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
-def _parity(codes: Column) -> Column:
+def _parity(codes: Column, shift: int = 0) -> Column:
     """64 bits, each the parity of the tokens that fall on it: two of them differ in no more bits than their sets."""
 
     def flip(acc: Column, c: Column) -> Column:
-        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))
+        bit = F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int")
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
 
     return F.aggregate(codes, F.lit(0).cast("long"), flip)
 
 
+#: Parts of the finer parity: 512 bits, enough for lines of a few hundred tokens.
+_PARTS = 8
+
+
+def _fine_parity(codes: Column) -> list[Column]:
+    """The parity over 64 bits for each of :data:`_PARTS` parts of the tokens."""
+
+    def part(k: int) -> Column:
+        return F.filter(codes, lambda c: F.shiftright(c, 12).bitwiseAND(F.lit(_PARTS - 1)) == k)
+
+    return [_parity(part(k), 6).alias(f"q{k}") for k in range(_PARTS)]
+
+
 def line_table(docs: DataFrame, ranks: bytes) -> DataFrame:
     """Every line with the size, identity (128 bits), parity and rarest tokens of its token set; no text. Written once."""
     n = F.size("codes")
@@ -110,25 +124,39 @@ def _possible(index: str, probe: str) -> Column:
 def _verified(docs: DataFrame, ranks: bytes, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cid, match): for each class in ``pairs`` (a, b) with an earlier one similar enough, the first line of the earliest.
 
-    Only the lines in question are read again; repeated rows repeat pairs, which changes no minimum.
+    Only the lines in question are read again, first for a finer parity that settles most pairs of
+    long lines, then for the token sets of the rest. Repeated rows repeat pairs, which changes no minimum.
     """
     pairs = pin(pairs.distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    needed = pin(classes.select("cid", "tag", "line_no").join(needed, "cid"), "needed")
-    small = table_bytes(needed) <= BROADCAST_BYTES
-    found = _rows(docs).join(F.broadcast(needed) if small else needed, ["tag", "line_no"])
-    found = found.select("cid", "doc_id", "tag", "line_no", _codes(F.col("line"), ranks).alias("codes"))
+
+    def lines_of(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        cids = some.select(F.col("a").alias("cid")).unionByName(some.select(F.col("b").alias("cid"))).distinct()
+        needed = pin(classes.select("cid", "tag", "line_no").join(cids, "cid"), "needed")
+        small = table_bytes(needed) <= BROADCAST_BYTES
+        found = _rows(docs).join(F.broadcast(needed) if small else needed, ["tag", "line_no"])
+        return needed, found.select("cid", "doc_id", "tag", "line_no", _codes(F.col("line"), ranks).alias("codes"))
+
+    needed, found = lines_of(pairs)
+    fine = pin(found.select("cid", F.size("codes").alias("n"), *_fine_parity(F.col("codes"))), "fine")
+    x, y = fine.alias("x"), fine.alias("y")
+    apart = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.q{k}").bitwiseXOR(F.col(f"y.q{k}"))) for k in range(_PARTS)))
+    sizes = F.col("x.n") + F.col("y.n")
+    near = apart + 2 * _ceil(OVER, OVER + UNDER, sizes) <= sizes
+    both = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid"))
+    close = pin(both.filter(near).select("a", "b").distinct(), "close")
+    release(pairs, needed, fine)
+    needed, found = lines_of(close)
     place = F.struct("doc_id", "tag", "line_no").alias("place")
     sets = pin(found.select("cid", place, F.size("codes").alias("n"), "codes"), "sets")
     a, b = sets.alias("x"), sets.alias("y")
-    both = pairs.join(a, F.col("a") == F.col("x.cid")).join(b, F.col("b") == F.col("y.cid"))
+    both = close.join(a, F.col("a") == F.col("x.cid")).join(b, F.col("b") == F.col("y.cid"))
     shared = F.size(F.array_intersect("x.codes", "y.codes"))
     enough = shared * (OVER + UNDER) >= (F.col("x.n") + F.col("y.n")) * OVER
     forward = F.col("x.place") < F.col("y.place")
     later = F.when(forward, F.col("b")).otherwise(F.col("a"))
     earlier = F.when(forward, F.col("x.place")).otherwise(F.col("y.place"))
     matches = pin(both.filter(enough).groupBy(later.alias("cid")).agg(F.min(earlier).alias("match")), "matches")
-    release(pairs, needed, sets)
+    release(close, needed, sets)
     return matches
 
 
