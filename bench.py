@@ -16,9 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.operators import fuse, trust as tr
+from corrobora.operators.monitor import batch_summary
 from corrobora.operators.prepare import dict_encode, replicate_claims
-from corrobora.plans import catalog, methods as me, tables
-from corrobora.session import local_session, pin
+from corrobora.plans import catalog, methods as me, monitor_queries as mq, tables
+from corrobora.session import local_session, pin, scratch_path
+from corrobora.streaming.live import LiveFusion, batch_latency
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -37,6 +39,20 @@ def seconds(build: Callable[[], DataFrame], runs: int = 2, warm: int = 1) -> flo
     return round(best, 3)
 
 
+def stream_latency(spark) -> dict[str, float]:
+    """Mean and 95th percentile of the engine's time per micro-batch of the event stream, and rows per batch."""
+    stream, cut, silver = mq._batches(spark, SF_DIR)
+    live = LiveFusion(spark, scratch_path(spark, "live"), silver, label_fraction=0.2)
+    running = live.start(stream).trigger(availableNow=True).start()
+    running.awaitTermination()
+    scored = batch_latency(running, spark).withColumn("F1", F.lit(0.0))
+    line = batch_summary(scored, "latency_s").first()
+    return {"mean_s": round(line["mean_latency_s"], 3), "p95_s": round(line["p95_latency_s"], 3), "rows": cut.count() // mq.N_BATCHES}
+
+
+GRID = ("recency_first", *me.RANK_METHODS, *me.VOTE_METHODS)
+
+
 def main() -> None:
     spark = local_session(CPUS, memory=os.environ.get("BENCH_MEMORY", "16g"), shuffle_partitions=int(CPUS))
     collapsed, silver, trust = tables.learned_trust(spark, SF_DIR)
@@ -48,11 +64,30 @@ def main() -> None:
     small = coded.select("cluster_id", "trust", "ts", "offer_id", *codes)
     big = pin(replicate_claims(small, BIG_ROWS, ["offer_id", "field_code", "ts"]).repartition(2 * int(CPUS)))
 
+    extras = [f"q{i}" for i in range(12)]
+    # stored columns that no plan can fold away: few distinct values, so they are compared often
+    stored = [(F.xxhash64("offer_id", F.lit(i)) % 4 / 4.0).alias(n) for i, n in enumerate(extras)]
+    padded = pin(big.select("*", *stored))
+
     def wide(extra: int) -> DataFrame:
-        names = [f"q{i}" for i in range(extra)]
-        padded = big.select("*", *[F.lit(0.0).alias(n) for n in names])
+        names = extras[:extra]
         return fuse.rank_fuse(padded, ["trust", "ts", *names, "value_code", "offer_id"], CODED_GROUP, "value_code")
 
+    def sized(rows: int) -> DataFrame:
+        """The big table tiled or cut to ``rows``."""
+        return pin(replicate_claims(small, rows, ["offer_id", "field_code", "ts"]).repartition(2 * int(CPUS)))
+
+    million = sized(1_000_000)
+    music = sized(842_985)
+    # as many outcomes and sources as the published trust update
+    outcomes = pin(
+        spark.range(36_000).select(
+            (F.col("id") * 7919 % 5000).cast("string").alias("source_id"),
+            F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("field"),
+            (F.xxhash64("id") % 3 != 0).cast("byte").alias("x"),
+        )
+    )
+
     counts = {
         "raw": raw.count(), "collapsed": collapsed.count(), "big": big.count(), "judged": judged.count(),
     }
@@ -60,6 +95,9 @@ def main() -> None:
         "rank_big": (lambda: fuse.rank_fuse(big, TUPLE, CODED_GROUP, "value_code"), counts["big"]),
         "rank_big_width8": (lambda: wide(4), counts["big"]),
         "rank_big_width16": (lambda: wide(12), counts["big"]),
+        "rank_1m": (lambda: fuse.rank_fuse(million, TUPLE, CODED_GROUP, "value_code"), 1_000_000),
+        "vote_842985": (lambda: fuse.vote_fuse(music, group=CODED_GROUP, value="value_code"), 842_985),
+        "trust_update_36000": (lambda: tr.trust_table(tr.trust_counts(outcomes)), 36_000),
         "vote_big": (lambda: fuse.vote_fuse(big, group=CODED_GROUP, value="value_code"), counts["big"]),
         "rank_raw": (lambda: fuse.rank_fuse(raw), counts["raw"]),
         "vote_raw": (lambda: fuse.vote_fuse(raw), counts["raw"]),
@@ -70,8 +108,10 @@ def main() -> None:
         "vote_mean_end_to_end": (lambda: catalog.QUERIES["vote_mean"](spark, SF_DIR), counts["raw"]),
     }
     times = {name: seconds(build) for name, (build, _) in cases.items()}
-    times["em_truth"] = seconds(lambda: me.em_truth(collapsed), runs=1, warm=0)
-    rows = {name: n for name, (_, n) in cases.items()} | {"em_truth": counts["collapsed"]}
+    times["em_truth"] = seconds(lambda: me.em_truth(collapsed), runs=1, warm=1)
+    times["compare_methods"] = seconds(lambda: me.compare_methods(collapsed, silver, 100, lam=1e-8, include=GRID), runs=1, warm=0)
+    rows = {name: n for name, (_, n) in cases.items()} | {"em_truth": counts["collapsed"], "compare_methods": counts["collapsed"]}
+    latency = stream_latency(spark)
     print(
         json.dumps(
             {
@@ -79,6 +119,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "stream_batch": latency,
                 "rows": rows,
                 "mrows_per_s": {name: round(rows[name] / t / 1e6, 3) for name, t in times.items()},
                 "sf": os.path.basename(SF_DIR.rstrip("/")),
