@@ -191,11 +191,12 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_ids: int = S
     write_once(in_document_order(docs).mapInPandas(build, SHARD), path, compression="zstd")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """(doc_id, start, ids) of every document in the shards: ``ids`` as little-endian unsigned 32-bit integers.
 
     ``start`` counts the ids of all documents before it. Only one number per
-    sort partition is added up in one place.
+    sort partition is added up in one place. With ``digest`` there are ``n_tokens`` and
+    ``ids_crc32`` in place of the ids, taken before the starts are joined.
     """
     shards = spark.read.schema(SHARD).parquet(path)
     sizes = shards.select("part", "shard", "n_ids")
@@ -220,7 +221,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"part": row.part, "shard": row.shard, "doc_id": ids[cut], "offset": at[cut], "ids": pieces})
 
     found = shards.mapInPandas(unfold, "part int, shard int, doc_id long, offset long, ids binary")
-    return found.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "ids")
+    ids = [F.col("ids")]
+    if digest:
+        ids = [(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")]
+    taken = found.select("part", "shard", "doc_id", "offset", *ids)
+    return taken.join(starts, ["part", "shard"]).withColumn("start", F.col("base") + F.col("offset")).select(
+        "doc_id", "start", *[c for c in taken.columns if c not in ("part", "shard", "doc_id", "offset")]
+    )
 
 
 def count_id(spark: SparkSession, path: str, value: int) -> DataFrame:
@@ -253,5 +260,4 @@ def find_id(spark: SparkSession, path: str, value: int) -> DataFrame:
 def shards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "shards")
     write_shards(load(spark, sf_dir, "documents"), path, vocabulary_path())
-    n = (F.octet_length("ids") / 4).cast("long")
-    return read_documents(spark, path).select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read_documents(spark, path, digest=True)
