@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora.schema import GROUP
+from corrobora.session import pin
 
 
 def _f1(p: Column, r: Column) -> Column:
@@ -73,8 +74,8 @@ def accuracy(pred: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataF
 
 
 def quality(pred: DataFrame, silver: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Macro P, R, F1 and exact match in one table; the join is done once."""
-    rows = judged(pred, silver, by)
+    """Macro P, R, F1 and exact match in one table; the join is done once and written."""
+    rows = pin(judged(pred, silver, by), "judged")
     ok = F.coalesce(F.col("pred") == F.col("truth"), F.lit(False))
     macro = _with_prf(_tally(rows, [*by, "field"])).groupBy(*by).agg(
         *[F.avg(c).alias(c) for c in ("P", "R", "F1")]

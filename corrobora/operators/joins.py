@@ -10,7 +10,8 @@ from corrobora.session import pin
 
 BROADCAST_BYTES = 32 << 20
 HOT_SHARE = 1000
-SALTS = 64
+#: Salts of a hot key for each mean partition's worth of rows it holds.
+SALTS_PER_PART = 4
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -34,33 +35,42 @@ def hot_keys(
     return counts.filter(F.col("_n") * share > total).select(*keys)
 
 
+def hot_salts(
+    df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, counts: DataFrame | None = None
+) -> DataFrame:
+    """The hot keys with ``_salts``: as many as the key's share of the rows asks for, given the shuffle's partitions.
+
+    Shares add up to one, so all keys together have at most :data:`SALTS_PER_PART` salts per partition, and one more each.
+    """
+    counts = pin(df.groupBy(*keys).agg(F.count("*").alias("_n")) if counts is None else counts, "keycount")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.col("_n") * (SALTS_PER_PART * parts) / F.lit(max(total, 1))).cast("int")
+    return counts.filter(F.col("_n") * share > total).select(*keys, salts.alias("_salts"))
+
+
 def salted_join(
     big: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join in which only the hot keys of ``big`` are spread over ``salts`` partitions.
+    """Shuffle join in which only the hot keys of ``big`` are spread, each over salts in proportion to its share.
 
-    The rows of ``lookup`` under a hot key are repeated once per salt; there are
-    fewer than ``HOT_SHARE`` such keys, so the repetition is bounded.
+    The rows of ``lookup`` under a hot key are repeated once per salt. The salt
+    hashes the row and the partition it comes from, so a task that is run again deals alike.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys, counts=counts).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot_salts(big, keys, counts=counts))
+    spread = F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()), F.col("_salts")).cast("int")
     left = (
         big.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = (
-        lookup.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn("_salt", F.when(F.col("_salts").isNotNull(), spread).otherwise(F.lit(0)))
+        .drop("_salts")
     )
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -23,9 +23,12 @@ DECAY_BITS = 52
 
 
 def adjudicate(claims: DataFrame, silver: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """One outcome ``x`` in {0, 1} per claim whose group is labelled: does it match the label?"""
-    truth = silver.select(*group, F.col("value").alias("_truth"))
-    return claims.join(truth, list(group)).select(
+    """One outcome ``x`` in {0, 1} per claim whose group is labelled: does it match the label?
+
+    Labels are broadcast while they are small; beyond, a group with a large share of the claims is spread.
+    """
+    truth = narrow(silver, *group, F.col("value").alias("_truth"))
+    return lookup_join(claims, truth, group, "inner").select(
         *group, "source_id", (F.col("value") == F.col("_truth")).cast("byte").alias("x"), "ts"
     )
 

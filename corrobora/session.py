@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "16g", shuffle_partitions: int = 8) -> SparkSession:
@@ -91,8 +91,8 @@ def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     return written
 
 
-def narrow(df: DataFrame, *columns: str) -> DataFrame:
-    """Some columns of a table, still known as pinned if it was: reading fewer columns needs no new copy."""
+def narrow(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Some columns of a table, perhaps renamed, still known as pinned if it was: reading fewer columns needs no new copy."""
     out = df.select(*columns)
     out._pinned = getattr(df, "_pinned", None)
     return out

@@ -78,3 +78,26 @@ def test_components_write_four_tables_a_round(spark, monkeypatch):
     assert roots == {k: 0 for k in range(1, 41)}
     rounds = written.count("least") // 2
     assert written.count("edges") == 1 + 2 * rounds and len(written) <= 1 + 4 * rounds
+
+
+def test_a_hot_key_is_spread_in_proportion(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from corrobora.operators.joins import salted_join
+
+    rows = spark.range(30_000).repartition(8).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    lookup = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(before, ("false", "-1", "16")):
+            spark.conf.set(c, v)
+        joined = salted_join(rows, lookup, ["k"], "inner")
+        placed = joined.select(F.spark_partition_id().alias("p"), "k", "id", "v").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len({r.id for r in placed}) == len(placed) == 30_000 and all(r.v == 2 * r.k for r in placed)
+    sizes = Counter(r.p for r in placed)
+    assert max(sizes.values()) <= 2 * 30_000 / 16

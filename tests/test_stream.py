@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corrobora.operators import fuse
 from corrobora.operators.monitor import TrustPolicy, recovery_summary, windowed_evidence, windowed_trust
 from corrobora.session import scratch_path
-from corrobora.streaming.live import LiveFusion, bounded_claims, stream_rank
+from corrobora.streaming.live import LiveFusion, batch_latency, bounded_claims, stream_rank
 
 
 @pytest.fixture
@@ -109,3 +109,42 @@ def test_recovery_counts_windows_until_back(spark):
     got = {r["policy"]: r for r in recovery_summary(df).collect()}
     assert got["m"]["recovery_windows"] == 3 and got["m"]["final_F1"] == 0.99
     assert got["n"]["recovery_windows"] is None
+
+
+def test_folded_states_equal_all_batches(spark, batches, silver, rows_of):
+    running = live(spark, silver)
+    for table in running.tables.values():
+        table.fold_every = 2
+    for i, b in enumerate(batches):
+        running.fuse_batch(b, i)
+        running.keep_states(b, i)
+    everything = batches[0].union(batches[1]).union(batches[2])
+    assert running.tables["claims"]._snapshots().last() == 1
+    assert rows_of(running.canonical_by_rank()) == rows_of(fuse.rank_fuse(everything))
+    assert rows_of(running.canonical_by_vote()) == rows_of(fuse.vote_fuse(everything))
+    merged = running.tables["claims"].merged()
+    assert rows_of(fuse.collapse_state(merged)) == rows_of(fuse.collapse_per_source(everything))
+
+
+def test_late_labels_count_like_early_ones(spark, batches, silver, rows_of):
+    early, late = live(spark, silver), live(spark, silver.limit(0))
+    everything = batches[0].union(batches[1]).union(batches[2])
+    early.fuse_batch(everything, 0)
+    for i, b in enumerate(batches):
+        late.fuse_batch(b, i)
+    for i in (0, 1, 1):  # the second batch of labels arrives twice
+        late.learn_labels(silver.filter(F.col("cluster_id") % 2 == i), i)
+    known = early.tables["state"].get(0).select("source_id", "field", "succ", "fail")
+    assert rows_of(late.evidence()) == rows_of(known)
+
+
+def test_latency_of_batches(spark, silver, batches):
+    folder = scratch_path(spark, "in")
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(folder)
+    running_live = live(spark, silver)
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    running = running_live.start(stream).trigger(availableNow=True).start()
+    running.awaitTermination()
+    rows = batch_latency(running, spark).orderBy("batch").collect()
+    assert [r.batch for r in rows] == [1, 2, 3] and all(r.batch_rows == 24 and r.latency_s > 0 for r in rows)
