@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from corrobora.llm.common import load
+from corrobora.llm.common import load, ship
 
 #: Characters of text that are encoded and decoded together (a longer document is taken alone).
 TOGETHER = 4_000_000
@@ -191,6 +191,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 decoded = bpe.decode([np.frombuffer(x, "<u4") for x in ids])
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[part].astype("Int64"), "ids": ids, "decoded": decoded})
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(coded, "doc_id long, ids binary, decoded binary")
 
 
@@ -211,6 +212,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids)],
                 })
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

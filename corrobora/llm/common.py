@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrobora.session import pin
@@ -10,6 +14,23 @@ from corrobora.session import pin
 LABEL_BOUND = 20_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application, so that they need no copy of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="corrobora-code-")) / "corrobora_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,6 +69,7 @@ def label_sample(labels: DataFrame, label: str = "quality", bound: int = LABEL_B
 
 def labelled(docs: DataFrame, sample: DataFrame, how: str = "inner") -> DataFrame:
     """Documents with the label of the bounded sample; the sample travels, the texts stay where they are."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", how).select("text", "label")
 
 

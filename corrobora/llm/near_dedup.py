@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from corrobora.llm.common import load
+from corrobora.llm.common import load, ship
 from corrobora.operators.components import component_roots
 from corrobora.session import pin
 
@@ -130,6 +130,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     over, so it is null only where all ids are. Repeated rows come back
     repeatedly; an empty table gives none. Other columns are not read.
     """
+    ship(docs.sparkSession)
     prints = pin(docs.select("doc_id", fingerprint("text").alias("fp")), "prints")
     found = prints.join(near_components(prints), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -140,6 +141,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     A null id comes after all others. Of rows that share the smallest id one stays.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("tag"), fingerprint(docs["text"]).alias("fp"))
     rows = pin(rows, "rows")
     prints = rows.select(F.col("row.doc_id").alias("doc_id"), "fp", "tag")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from corrobora.llm.common import in_document_order, load
+from corrobora.llm.common import in_document_order, load, ship
 from corrobora.llm.encoding import WordEncoder, vocabulary_path, word_encoder
 
 #: Ids of a window.
@@ -153,6 +153,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, problem: int =
         if raw:
             yield _pieces(ids, raw, ends, window, sequence, with_ids)[0]
 
+    ship(docs.sparkSession)
     return in_document_order(docs).mapInPandas(cut, PIECE + ", ids binary" * with_ids)
 
 

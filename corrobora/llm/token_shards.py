@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corrobora.llm.common import in_document_order, load
+from corrobora.llm.common import in_document_order, load, ship
 from corrobora.llm.encoding import vocabulary_path, word_encoder
 from corrobora.session import scratch_path, write_once
 
@@ -188,6 +188,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shard_ids: int = S
         if pieces:
             yield pd.DataFrame([_shard_row(part, shard, bits, ids, pieces)])
 
+    ship(docs.sparkSession)
     write_once(in_document_order(docs).mapInPandas(build, SHARD), path, compression="zstd")
 
 
@@ -198,6 +199,7 @@ def read_documents(spark: SparkSession, path: str, digest: bool = False) -> Data
     sort partition is added up in one place. With ``digest`` there are ``n_tokens`` and
     ``ids_crc32`` in place of the ids, taken before the starts are joined.
     """
+    ship(spark)
     shards = spark.read.schema(SHARD).parquet(path)
     sizes = shards.select("part", "shard", "n_ids")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
@@ -238,6 +240,7 @@ def count_id(spark: SparkSession, path: str, value: int) -> DataFrame:
             for row in frame.itertuples():
                 yield pd.DataFrame({"part": [row.part], "shard": [row.shard], "n": [matrix_of(row).count(value)]})
 
+    ship(spark)
     return spark.read.schema(SHARD).parquet(path).mapInPandas(counted, "part int, shard int, n long")
 
 
@@ -254,6 +257,7 @@ def find_id(spark: SparkSession, path: str, value: int) -> DataFrame:
                 ids = pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], dtype="Int64")
                 yield pd.DataFrame({"doc_id": ids[doc], "place": places - starts[doc]})
 
+    ship(spark)
     return spark.read.schema(SHARD).parquet(path).mapInPandas(found, "doc_id long, place long")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corrobora.llm.common import load
+from corrobora.llm.common import load, ship
 from corrobora.session import scratch_path
 
 VERSION = "WARC/1.1"
@@ -103,6 +103,7 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
             names = ["page_id", *(c.split()[0] for c in RECORD.split(", "))]
             yield pd.DataFrame(rows, columns=names)
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInPandas(framed, "page_id long, " + RECORD)
 
 
@@ -146,6 +147,7 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
             yield out
 
     columns = [key, *(c.split()[0] for c in RECORD.split(", "))]
+    ship(responses.sparkSession)
     kind = responses.schema[key].dataType.simpleString()
     return responses.select(*columns).filter("kind = 'response'").mapInPandas(derived, f"{key} {kind}, {RECORD}")
 
@@ -211,6 +213,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 ]
                 yield pd.DataFrame(rows, columns=names)
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(parsed, RECORD)
 
