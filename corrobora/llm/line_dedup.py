@@ -16,7 +16,7 @@ OVER, UNDER = 4, 5
 #: Token counts are kept in so many hashed buckets; only the order of tokens depends on them.
 RARITY_BITS = 18
 #: Lines with one indexed token, beyond which they are first held against the earliest of them.
-CROWD = 32
+CROWD = 4
 
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
@@ -41,23 +41,29 @@ def rarity(docs: DataFrame) -> bytes:
     """One byte per hashed token bucket: twice the binary logarithm of the tokens in it, over the whole table."""
     lines = docs.select(F.explode(F.split(whole_text(), "\n", -1)).alias("line"))
     words = lines.select(F.explode(_words(F.col("line"))).alias("word")).filter("word <> ''")
-    tokens = words.select(F.pmod(F.xxhash64("word"), F.lit(1 << RARITY_BITS)).cast("int").alias("b"))
+    token = F.shiftrightunsigned(F.xxhash64("word"), 8)
+    tokens = words.select(token.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int").alias("b"))
     table = bytearray(1 << RARITY_BITS)
     for b, n in tokens.groupBy("b").agg(F.count("*").alias("n")).collect():
         table[b] = min(63, int(2 * math.log2(n)))
     return bytes(table)
 
 
+def _tokens(line: Column) -> Column:
+    """The distinct tokens of a line as 56-bit hashes, in no order."""
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.array_distinct(hashes)
+
+
 def _codes(line: Column, ranks: bytes) -> Column:
-    """The distinct tokens of a line as ascending integers: rarity above 56 bits of the token's hash."""
+    """The distinct tokens of a line as ascending integers: rarity above the 56 bits of the token."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a constant
 
-    def code(h: Column) -> Column:
-        rank = F.element_at(table, F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int") + 1)
-        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def code(token: Column) -> Column:
+        rank = F.element_at(table, token.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int") + 1)
+        return F.shiftleft(rank, 56).bitwiseOR(token)
 
-    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
+    return F.sort_array(F.transform(_tokens(line), code))
 
 
 def _parity(codes: Column, shift: int = 0) -> Column:
@@ -121,7 +127,7 @@ def _possible(index: str, probe: str) -> Column:
     )
 
 
-def _verified(docs: DataFrame, ranks: bytes, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cid, match): for each class in ``pairs`` (a, b) with an earlier one similar enough, the first line of the earliest.
 
     Only the lines in question are read again, first for a finer parity that settles most pairs of
@@ -134,7 +140,7 @@ def _verified(docs: DataFrame, ranks: bytes, classes: DataFrame, pairs: DataFram
         needed = pin(classes.select("cid", "tag", "line_no").join(cids, "cid"), "needed")
         small = table_bytes(needed) <= BROADCAST_BYTES
         found = _rows(docs).join(F.broadcast(needed) if small else needed, ["tag", "line_no"])
-        return needed, found.select("cid", "doc_id", "tag", "line_no", _codes(F.col("line"), ranks).alias("codes"))
+        return needed, found.select("cid", "doc_id", "tag", "line_no", _tokens(F.col("line")).alias("codes"))
 
     needed, found = lines_of(pairs)
     fine = pin(found.select("cid", F.size("codes").alias("n"), *_fine_parity(F.col("codes"))), "fine")
@@ -160,7 +166,7 @@ def _verified(docs: DataFrame, ranks: bytes, classes: DataFrame, pairs: DataFram
     return matches
 
 
-def later_matches(docs: DataFrame, ranks: bytes, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
+def later_matches(docs: DataFrame, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(cid, match): the classes with an earlier match, and the place (doc_id, tag, line_no) of one.
 
     Of two matching lines the shorter has one of its rarest n - ceil(8n/9) + 1
@@ -178,7 +184,7 @@ def later_matches(docs: DataFrame, ranks: bytes, classes: DataFrame, crowd: int
     join = lambda i, p: i.alias("i").join(p.alias("p"), F.col("i.key") == F.col("p.key")).filter(_possible("i", "p"))
     pair = [F.col("i.cid").alias("a"), F.col("p.cid").alias("b")]
     if not crowded.take(1):
-        return _verified(docs, ranks, classes, join(index, probe).select(*pair))
+        return _verified(docs, classes, join(index, probe).select(*pair))
     met = pin(rare.join(crowded, "key", "left_semi"), "met")
     length = F.floor(F.log(UNDER / OVER, F.col("n"))).cast("int")
     placed = met.join(classes.select("cid", F.struct("doc_id", "tag", "line_no").alias("at")), "cid")
@@ -189,13 +195,13 @@ def later_matches(docs: DataFrame, ranks: bytes, classes: DataFrame, crowd: int
     own = classes.select("cid", "n", "parity")
     need = _ceil(OVER, OVER + UNDER, F.col("n") + F.col("m"))
     alike = leader.join(own, F.col("a") == F.col("cid")).filter(F.bit_count(F.col("parity").bitwiseXOR(F.col("q"))) + 2 * need <= F.col("n") + F.col("m"))
-    decided = _verified(docs, ranks, classes, alike.select("a", "b"))
+    decided = _verified(docs, classes, alike.select("a", "b"))
     release(leader)
     open_ = met.join(decided.select("cid"), "cid", "left_anti")
     among = lambda rows: rows.filter(in_index)
     cold = join(index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti"))
     pairs = cold.select(*pair).unionByName(join(among(open_), met).select(*pair)).unionByName(join(among(met), open_).select(*pair))
-    rest = _verified(docs, ranks, classes, pairs)
+    rest = _verified(docs, classes, pairs)
     release(crowded, met)
     return decided.unionByName(rest).groupBy("cid").agg(F.min("match").alias("match"))
 
@@ -212,7 +218,7 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     ranks = rarity(docs)
     lines = line_table(docs, ranks)
     classes = _line_classes(lines)
-    matches = later_matches(docs, ranks, classes)
+    matches = later_matches(docs, classes)
     first = F.struct("doc_id", "tag", "line_no")
     fates = pin(classes.join(matches, "cid", "left").select("k1", "k2", first.alias("first"), "match"), "fates")
     release(classes, matches)
@@ -221,11 +227,14 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     goes = (F.col("n") > 0) & (F.col("match").isNotNull() | ~F.col("first").eqNullSafe(own))
     by = F.when(F.col("match").isNotNull(), F.col("match.doc_id")).otherwise(F.col("first.doc_id"))
     fate = judged.withColumn("goes", goes).withColumn("by", by)
-    return fate.groupBy("doc_id", "tag").agg(
+    decided = fate.groupBy("doc_id", "tag").agg(
         F.count_if(F.col("n") > 0).alias("n_lines"),
         F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("line_no")))).alias("removed"),
         F.sort_array(F.collect_set(F.when(F.col("goes"), F.col("by")))).alias("matched"),
     )
+    decided = pin(decided, "decisions")
+    release(lines, fates)
+    return decided
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
