@@ -16,7 +16,7 @@ OVER, UNDER = 4, 5
 #: Token counts are kept in so many hashed buckets; only the order of tokens depends on them.
 RARITY_BITS = 18
 #: Lines with one indexed token, beyond which they are first held against the earliest of them.
-CROWD = 4
+CROWD = 32
 
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
