@@ -63,3 +63,45 @@ def test_repeats_nulls_and_empty_table(spark):
     assert fp.fingerprint_documents(frame.limit(0)).collect() == []
     with pytest.raises(ValueError):
         fp.within(frame, frame, 6)
+
+
+@pytest.mark.parametrize("radius", [4, 9, 21, 31])
+def test_wide_search_against_all_pairs(spark, radius):
+    rng = random.Random(radius)
+    prints = [0, (1 << 128) - 1]
+    for _ in range(30):
+        x = rng.getrandbits(128)
+        for _ in range(6):
+            prints.append(x ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(radius + 3))))
+    low = (1 << 64) - 1
+    rows = [(k, fp._signed(x & low), fp._signed(x >> 64)) for k, x in enumerate([*prints, *prints[:25]])]
+    frame = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long")
+    pairs = [tuple(r) for r in fp.around(frame, frame, radius).collect()]
+    halves = {(a, b) for _, a, b in rows}
+    apart = lambda p, q: sum(((x ^ y) & low).bit_count() for x, y in zip(p, q))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(*p, *q) for p in halves for q in halves if apart(p, q) <= radius}
+    digits = lambda a, b: f"{a & low:016x}{b & low:016x}"
+    got = {r.doc_id: (r.near, r.found) for r in fp.search(frame, 20, radius).collect()}
+    others = {k: [(c, d) for j, c, d in rows if j != k and apart((a, b), (c, d)) <= radius] for k, a, b in rows if k % 20 == 0}
+    assert got == {k: (len(o), sorted({digits(*p) for p in o})) for k, o in others.items()}
+
+
+def test_near_copies_are_found(spark, tmp_path):
+    """Texts that share 0.8 of their 5-word shingles or more; the registered query names the copy by its fingerprint."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 10))) for _ in range(2000)]
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    docs = []
+    for k in range(60):
+        text = [rng.choice(words) for _ in range(rng.randrange(150, 400))]
+        copy = list(text)
+        for _ in range(len(text) // 60):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        a, b = shingles(text), shingles(copy)
+        assert len(a & b) >= 0.8 * len(a | b) and text != copy
+        docs += [(20 * k, " ".join(text)), (20 * k + 1, " ".join(copy))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fp.fingerprints_query(spark, str(tmp_path)).collect()}
+    assert all(got[20 * k + 1].found is None and got[20 * k + 1].near is None for k in range(60))
+    copies = sum(got[20 * k + 1].fingerprint in got[20 * k].found for k in range(60))
+    assert copies >= 57
