@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -65,9 +64,6 @@ OTHERS = (
     "This work is part of a series.", "The public may use this file.", "Permission of the teacher is required.",
     "Released under the bridge.", "This program is about software.", "general public", "source code and binary",
 )
-#: A paragraph is classified if it has one of these.
-CUES = ("licen", "copyright", "redistribut", "permission", "public domain", "spdx", "cc by", "cc-by", "cc0", "warrant", "conditions", "free software")
-
 #: At most about so many paragraphs of the corpus serve as examples of the unknown class.
 SAMPLE = 400
 #: Least probability, and least share of the shorter side's word pairs that paragraph and template have in common.
@@ -103,6 +99,26 @@ def templates() -> list[tuple[str, str]]:
     return named + [(f, n) for f, notices in NOTICES.items() for n in notices]
 
 
+#: Every word of a template: a line without any is no notice.
+CUES = tuple(sorted({w for _, t in templates() for w in words_of(t)}))
+#: Every pair of neighbouring words of a template. A line is classified if it shares two of them, the least that :func:`scan` asks for.
+PAIRS = tuple(sorted({g for _, t in templates() for g in grams(words_of(t)) if " " in g}))
+
+
+def _any_pair() -> str:
+    """A regular expression for lines in lower case that have one of :data:`PAIRS`; common beginnings are tried once."""
+
+    def branch(rest: list[str]) -> str:
+        heads = sorted({r[0] for r in rest if r})
+        if not heads:
+            return "(?![a-z0-9])"
+        ways = [("[^a-z0-9]+" if h == " " else h) + branch([r[1:] for r in rest if r[:1] == h]) for h in heads]
+        ways += ["(?![a-z0-9])"] if "" in rest else []
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return "(?<![a-z0-9])" + branch(list(PAIRS))
+
+
 @dataclass(frozen=True)
 class Model:
     """Softmax weights over word n-grams, as whole millionths; class 0 is the unknown one."""
@@ -168,21 +184,20 @@ def corpus_sample(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, line_no, grams) of the lines that have a cue; ``tag`` tells apart rows that share an id."""
-    def cued(text: Column) -> Column:
-        return reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in CUES))
-
+    """(doc_id, tag, line_no, single, pairs) of the lines that share two word pairs with the templates; ``tag`` tells apart rows that share an id."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", whole_text()).alias("tag"), F.lower(whole_text()).alias("text"))
-    lines = rows.filter(cued(F.col("text"))).select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    words = lines.filter(cued(F.col("line"))).select("doc_id", "tag", "line_no", F.explode(F.array(F.array_remove(F.split("line", "[^a-z0-9]+"), ""))).alias("w"))
+    lines = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    words = lines.filter(F.rlike("line", F.lit(_any_pair()))).select("doc_id", "tag", "line_no", F.explode(F.array(F.array_remove(F.split("line", "[^a-z0-9]+"), ""))).alias("w"))
     pairs = F.filter(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
-    return words.select("doc_id", "tag", "line_no", F.array_distinct("w").alias("single"), F.array_distinct(pairs).alias("pairs"))
+    found = words.select("doc_id", "tag", "line_no", "w", F.explode(F.array(F.array_distinct(pairs))).alias("pairs"))
+    shared = F.size(F.filter("pairs", lambda p: p.isin(list(PAIRS))))
+    return found.filter(shared >= 2).select("doc_id", "tag", "line_no", F.array_distinct("w").alias("single"), "pairs")
 
 
 def scan(docs: DataFrame, model: Model, least: float = LEAST, alike: float = ALIKE) -> DataFrame:
     """(doc_id, tag, line_no, family, probability, likeness): the paragraphs that are licence notices.
 
-    A paragraph is a line. It is reported if the likeliest class is a family
+    A paragraph is a line; a notice over several lines is judged line by line. It is reported if the likeliest class is a family
     with probability ``least`` or more, and it shares at least two word pairs, and
     the share ``alike`` of the shorter side's pairs, with a template of that
     family. Null and empty texts have no paragraphs; rows that repeat both id and text are

@@ -61,3 +61,18 @@ def test_documents(spark):
     got = sorted((r.doc_id, r.families, r.lines) for r in lic.scan_documents(frame).collect())
     assert got == [(1, [], []), (1, ["MIT"], [1, 2]), (2, [], []), (3, [], []), (3, [], [])]
     assert lic.scan_documents(frame.limit(0)).collect() == []
+
+
+def test_every_template_is_found_by_the_scan(spark):
+    """Also the bare names, lines of a broken notice, and cuts without a word like licence."""
+    assert all(len({g for g in lic.grams(lic.words_of(t)) if " " in g}) >= 2 for _, t in lic.templates())
+    model = lic.train(["The cat sat on the mat.", "Licensed drivers only beyond this point."])
+    known = sorted(set(lic.templates()))
+    broken = "Released\tunder  MIT\nPERMISSION is hereby granted, free of charge, to any\nperson obtaining a copy of this software\nand associated documentation files"
+    cuts = [t for _, t in lic.examples()]
+    rows = [*((k, t) for k, (_, t) in enumerate(known)), (1000, broken), (1001, "\n".join(cuts))]
+    got = {(r.doc_id, r.line_no): r.family for r in lic.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [(f, t) for k, (f, t) in enumerate(known) if got.get((k, 0)) != f] == []
+    assert (got[1000, 0], got[1000, 2]) == ("MIT", "MIT")
+    alone = {k: found[0] for k, t in enumerate(cuts) if (found := plain(model, t))}
+    assert {k: f for (d, k), f in got.items() if d == 1001} == alone
