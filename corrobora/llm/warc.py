@@ -20,14 +20,20 @@ END = "\r\n\r\n"
 #: The date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template)\b[^>]*>.*?</\2\s*>", re.S | re.I)
+#: Elements that hide what they close around, and nothing if they are not closed: their opening and closing tags.
+_CLOSED = [(re.compile(rf"<{name}\b[^>]*>", re.I), re.compile(rf"</{name}\s*>", re.I)) for name in ("noscript", "template")]
+_MAYBE = re.compile("<(?:noscript|template)", re.I)
+_OWN = r"<title\b[^>]*>(?:.*?</title\s*>|[^<]*)|</?(?:base|basefont|bgsound|link|meta|noframes|noscript|template)\b[^>]*>"
+#: A head, and as much as surely is its own.
+_HEAD = re.compile(rf"<head\b[^>]*>(?:\s+|{_OWN})*", re.S | re.I)
+#: What decides whether a head is closed: its closing tag (the group), or before that any tag that only a body has.
+_HEAD_END = re.compile(rf"{_OWN}|(</head\s*>)|(</?[a-z][^>]*>)", re.S | re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|main|blockquote|pre|title)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>?")
-_SPACES = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
 
 
 def record_id(*parts: object) -> str:
@@ -39,11 +45,29 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def _without_hidden(page: str) -> str:
+    """The page without comments, scripts, styles, closed noscripts and templates, and its head.
+
+    A head without a closing tag, which HTML allows, ends where text or a tag that is not its own begins.
+    """
+    for opened, closed in _CLOSED if _MAYBE.search(page) else ():
+        last = max((m.start() for m in closed.finditer(page)), default=0)
+        page = page[:last] + opened.sub(" ", page[last:])
+    page = _HIDDEN.sub(" ", page)
+    head = _HEAD.search(page)
+    if not head:
+        return page
+    start = re.match(r"<head\b[^>]*>", head.group(), re.I).end() + head.start()
+    mark = next((m for m in _HEAD_END.finditer(page, start) if m.lastindex), None)
+    end = mark.end() if mark and mark.lastindex == 1 else head.end()
+    return page[: head.start()] + " " + page[end:]
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page: one line per block, blanks collapsed, entities resolved."""
-    shown = _HIDDEN.sub(" ", page)
-    shown = _TAG.sub("", _BLOCK.sub("\n", shown))
-    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(shown))).strip()
+    shown = _TAG.sub("", _BLOCK.sub("\n", _without_hidden(page)))
+    lines = (" ".join(line.split()) for line in html.unescape(shown).split("\n"))
+    return "\n".join(filter(None, lines))
 
 
 def page_facts(page: str) -> list[tuple[str, str]]:

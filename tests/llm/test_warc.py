@@ -54,3 +54,26 @@ def test_plain_responses_and_empty_tables(spark):
     assert warc.derive(frame.limit(0)).collect() == []
     assert warc.responses_of_pages(spark.createDataFrame([], SCHEMA)).collect() == []
     assert warc.parse_warc(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab") == []
+
+
+def test_pages_without_closing_tags_keep_their_text(spark):
+    pages = {
+        "<html><head><title>A</title><body><p>Whole text</p></body></html>": "Whole text",
+        "<html><head><meta charset=utf-8><title>A <p> B</title><script>x='<p>'</script><p>One<p>Two": "One\nTwo",
+        "<head><title>A</title>Bare text": "Bare text",
+        "<head><title>A<body><p>Text": "Text",
+        "<head><link rel=x><main>Text</main></head><p>More": "Text\nMore",
+        "<head><title>A</title>stray</head><body>Text": "Text",
+        "<header>Top</header><p>Text": "Top\nText",
+        "<p>One<noscript>two<p>three": "One two\nthree",
+        "<p>One<template><p>two</template>three<template>four": "One three four",
+        "<noscript>no</noscript><p>One<noscript>two": "One two",
+        "<head><noscript><img src=x></noscript><style>p{}</style></head><p>Text": "Text",
+        "<p>One<script>var x": "One",
+    }
+    assert {page: warc.plain_text(page) for page in pages} == pages
+    rows = [(k, "u", page) for k, page in enumerate(pages)]
+    derived = warc.derive(warc.responses_of_pages(spark.createDataFrame(rows, SCHEMA))).filter("kind = 'conversion'").collect()
+    assert {r.page_id: bytes(r.block).decode() for r in derived} == dict(enumerate(pages.values()))
+    many = "<head><title>" * 3000 + "<noscript><template>" * 20000 + "<p>x"
+    assert warc.plain_text(many) == "x"
