@@ -190,7 +190,7 @@ def _(spark, sf):
     return _round(grid, "precision", "coverage", "recall", "F1", "selective_risk")
 
 
-BUDGETS = (25, 50, 100)
+BUDGETS = (25, 50, 100, 200, 300)
 BUDGET_SEEDS = tuple(range(10))
 BUDGET_METHODS = ("weighted_vote_global", "weighted_vote_field", "vote_mean", "vote_lcb", "vote_lcb_decay")
 
