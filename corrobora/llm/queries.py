@@ -10,6 +10,7 @@ from corrobora.llm.near_dedup import near_query
 from corrobora.llm.packing import packing_query
 from corrobora.llm.quality_classifier import quality_query
 from corrobora.llm.quality_rules import rules_query
+from corrobora.llm.token_alignment import alignment_query
 from corrobora.llm.token_shards import shards_query
 from corrobora.llm.warc import derivatives_query
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc_derivatives": derivatives_query,
     "op9_packing": packing_query,
     "op10_simhash_near_dedup": near_query,
+    "op11_token_alignment": alignment_query,
 }
 
 SQL: dict[str, str] = {}
