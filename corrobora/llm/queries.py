@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from corrobora.llm.byte_bpe import bpe_query
+from corrobora.llm.embedding_links import LINKS_SQL, links_query
 from corrobora.llm.fingerprints import fingerprints_query
+from corrobora.llm.hard_negatives import NEGATIVES_SQL, negatives_query
 from corrobora.llm.licences import licences_query
 from corrobora.llm.line_dedup import lines_query
 from corrobora.llm.near_dedup import near_query
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_packing": packing_query,
     "op10_simhash_near_dedup": near_query,
     "op11_token_alignment": alignment_query,
+    "op12_hard_negatives": negatives_query,
+    "op13_embedding_links": links_query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_hard_negatives": NEGATIVES_SQL, "op13_embedding_links": LINKS_SQL}
