@@ -287,10 +287,10 @@ def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEGATIVES_SQL = f"""
 WITH v AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
-           list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
     FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS MATERIALIZED (
     SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
     FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND len(a.e) = len(b.e) AND NOT (a.vec_id = b.vec_id)
@@ -302,6 +302,6 @@ SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER best AS INTEGER) AS ra
        p.positive_score, s.score AS negative_score
 FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
  AND {LOW} * p.positive_score <= 100 * s.score AND 100 * s.score <= {HIGH} * p.positive_score
-QUALIFY row_number() OVER best <= {NEGATIVES}
 WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER best <= {NEGATIVES}
 """
