@@ -7,20 +7,22 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora.llm.common import load, ship, whole_text
-from corrobora.llm.encoding import _PRINTABLE, _SHOWN, MEMORY, WordEncoder, vocabulary_path
+from corrobora.llm.encoding import _PRINTABLE, _SHOWN, MEMORY, vocabulary_path
 from corrobora.operators.joins import lookup_join
 from corrobora.session import narrow, pin
 
 PIECES = "piece_bpe_32k.model"
 #: Longest unit that a worker remembers, in characters.
 REMEMBERED = 64
+#: Marks that, after letters, may be aligned apart from them.
+MARKS = ".,;:!?%&*$#)\"|"
 #: Documents per output batch, so that a batch of link arrays stays small.
 BATCH = 500
 
@@ -64,18 +66,26 @@ def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int,
 class Aligner(dict):
     """Aligned units of text: ``unit -> (n_a, n_b, n_groups, groups, links)``, or None where the bytes disagree.
 
-    A unit that begins with a line break stands for itself, any other for itself
-    after a space: the cuts of :data:`_CUT`, at which both tokenizers start a token.
+    A unit that begins with a line break stands for itself, one in a tuple for
+    marks after a letter, any other for itself after a space: the cuts at which
+    both tokenizers start a token.
     """
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
         super().__init__()
-        self.a = WordEncoder(path_a)
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = {k: bytes(_BYTE[c] for c in t) for t, k in self.a.library.get_vocab().items() if all(c in _BYTE for c in t)}
-        self.bytes_b = [self._piece(self.b.id_to_piece(k)) for k in range(self.b.get_piece_size())]
+        self.bytes_a = {k: bytes(_BYTE[c] for c in t) for t, k in self.a.get_vocab().items() if all(c in _BYTE for c in t)}
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        self.bytes_b = [self._piece(p) for p in pieces]
+        self.wide_a, self.wide_b = {k: len(v) for k, v in self.bytes_a.items()}, [*map(len, self.bytes_b)]
+        joined = {m for p in pieces for m in re.findall(r"(?<=[^\W\d_])[^\w\s]", p)}
+        #: letters, then marks that no piece of B holds after a letter and A matches apart from letters
+        self.tail = re.compile(f"([^\\W\\d_]+)([{re.escape(''.join(m for m in MARKS if m not in joined))}]+)")
 
     __hash__ = object.__hash__
 
@@ -84,29 +94,31 @@ class Aligner(dict):
         byte = _BYTE_PIECE.fullmatch(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
-    def ids(self, unit: str, broken: bool) -> tuple[list[int], list[int]]:
-        a = self.a.match(" " + unit) if unit.isalpha() else self.a.whole(unit if broken else " " + unit)
-        b = self.b.encode(unit)
-        return np.frombuffer(a, "<u4").tolist(), b[1:] if broken else b  # the library puts a space before any text
-
-    def aligned(self, unit: str, broken: bool) -> tuple | None:
-        """``broken``: the unit begins with its line break, not after a space."""
-        a, b = self.ids(unit, broken)
-        parts_a, parts_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        text = (unit if broken else " " + unit).encode()
-        if b"".join(parts_a) != text or b"".join(parts_b) != text:
+    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
+        """The groups of a text from its ids."""
+        if b"".join([self.bytes_a[k] for k in a]) != text.encode() or b"".join([self.bytes_b[k] for k in b]) != text.encode():
             return None
-        ends = [np.cumsum([*map(len, parts)]).tolist() for parts in (parts_a, parts_b)]
-        groups = align(*ends)
-        shown = ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:n]))}" for i, k, j, n in groups)
-        links = [a[k - 1] << 32 | b[n - 1] for _, k, _, n in groups]
-        return len(a), len(b), len(groups), shown, links
-
-    def __missing__(self, unit: str) -> tuple | None:
-        found = self.aligned(unit, unit[:1] == "\n")
-        if len(unit) <= REMEMBERED:
-            self[unit] = found
-        return found
+        groups = align([*accumulate([self.wide_a[k] for k in a])], [*accumulate([self.wide_b[k] for k in b])])
+        shown = ";".join([f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:n]))}" for i, k, j, n in groups])
+        return len(a), len(b), len(groups), shown, [a[k - 1] << 32 | b[n - 1] for _, k, _, n in groups]
+
+    def learn(self, units: set[str]) -> None:
+        """Align the units that are not remembered, all in one call of each library."""
+        parts = {u: self.tail.fullmatch(u) for u in units if u not in self}
+        new = {u for u, m in parts.items() if not m}
+        new.update(k for m in parts.values() if m for k in (m[1], (m[2],)) if k not in self)
+        new = [*new]
+        own = [u[0] if isinstance(u, tuple) else u if u[:1] == "\n" else " " + u for u in new]
+        ids_a = self.a.encode_batch_fast(own, add_special_tokens=False)
+        # B puts a space before any text: a piece of its own before a line break, joined with the letter before marks
+        ids_b = self.b.encode(["a" + u[0] if isinstance(u, tuple) else u for u in new], num_threads=1)
+        for unit, text, a, b in zip(new, own, ids_a, ids_b):
+            self[unit] = self.aligned(text, a.ids, b[1:] if text[:1] != " " else b)
+        for unit, m in parts.items():
+            if m:
+                word, tail = self[m[1]], self[(m[2],)]
+                whole = word and tail
+                self[unit] = whole and (*(x + y for x, y in zip(word[:3], tail)), f"{word[3]};{tail[3]}", word[4] + tail[4])
 
     def units(self, text: str) -> list[str]:
         """The text in units; a text whose blanks are all single needs no pattern."""
@@ -115,15 +127,23 @@ class Aligner(dict):
             return [first[1:], *(u if u[0] == "\n" else u[1:] for u in rest)]
         return text.replace("\n", " \n").split(" ")
 
-    def document(self, text: str) -> list[tuple]:
-        """The aligned units of a whole text; none where a unit's bytes disagree, or of an empty text."""
+    def documents(self, texts: Sequence[str]) -> list[list[tuple]]:
+        """The aligned units of each whole text; none where a unit's bytes disagree, or of an empty text."""
         if len(self) > MEMORY:
             self.clear()
-        if not text:
-            return []
-        first, *rest = self.units(text)
-        found = [self.aligned(first, False) if first[:1] == "\n" else self[first], *map(self.__getitem__, rest)]
-        return [] if None in found else found
+        cut = [self.units(t) if t else [] for t in texts]
+        odd = {}  # the first unit follows a space, so one that begins with a line break is looked at apart
+        for n, units in enumerate(cut):
+            if units and units[0][:1] == "\n":
+                text = " " + units.pop(0)
+                odd[n] = self.aligned(text, self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]))
+        new = set().union(*cut)
+        self.learn(new)
+        found = [[*([odd[n]] if n in odd else []), *map(self.__getitem__, units)] for n, units in enumerate(cut)]
+        for unit in new:
+            if len(unit) > REMEMBERED:
+                del self[unit]
+        return [[] if None in f else f for f in found]
 
 
 @lru_cache(maxsize=2)
@@ -147,8 +167,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, with_groups: bool
         for frame in frames:
             for at in range(0, len(frame), BATCH):
                 part, out = frame.iloc[at : at + BATCH], []
-                for text in part["text"]:
-                    found = tool.document(text)
+                for found in tool.documents(part["text"]):
                     shown = ";".join([f[3] for f in found])
                     links, times = np.unique(np.fromiter(chain.from_iterable([f[4] for f in found]), np.int64), return_counts=True)
                     counts = [sum([f[k] for f in found]) for k in range(3)]

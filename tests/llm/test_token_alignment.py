@@ -79,7 +79,7 @@ def test_galloping_finds_the_common_values(a, b):
 @given(st.text(st.sampled_from("ab.,'s \n\té1🙂_ ▁ 　<>"), min_size=1, max_size=40))
 def test_units_align_as_the_whole_text(text):
     groups = whole(text, untouched())
-    found = ta.aligner(A, B).document(text)
+    found = ta.aligner(A, B).documents([text])[0]
     assert ";".join(f[3] for f in found) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups or [])
 
 
