@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora.operators import evaluate as ev, fuse, silver as sv, trust as tr
+from corrobora.operators.discovery import discover_truth
 from corrobora.plans import methods as me, tables
 from corrobora.plans.registry import query
 from corrobora.plans.sqlparts import (
@@ -310,7 +311,7 @@ for _name, _mode, _part in (("vote_decay", "mean", "trustfade"), ("vote_lcb_deca
     )
 
 
-def _em_sql(rounds: int) -> str:
+def _em_parts(rounds: int) -> dict[str, str]:
     """The rounds of truth discovery, one after the other."""
     extra = {"em0": "SELECT *, CAST(0.8 AS DOUBLE) AS trust FROM collapsed", "win0": vote_sql("em0")}
     for i in range(1, rounds):
@@ -318,14 +319,36 @@ def _em_sql(rounds: int) -> str:
           FROM collapsed c JOIN win{i - 1} w USING (cluster_id, field) GROUP BY source_id"""
         extra[f"em{i}"] = source_join_sql("collapsed", f"weight{i}")
         extra[f"win{i}"] = vote_sql(f"em{i}")
-    return assemble(f"SELECT cluster_id, field, value FROM win{rounds - 1}", **extra)
+    return extra
 
 
-@query("em_truth", _em_sql(me.EM_ROUNDS))
+@query("em_truth", assemble(f"SELECT cluster_id, field, value FROM win{me.EM_ROUNDS - 1}", **_em_parts(me.EM_ROUNDS)))
 def _(spark, sf):
     return me.em_truth(me.prepare(tables.claims(spark, sf))[0])
 
 
+def _convergence_sql(rounds: int) -> str:
+    """How far each re-weighing moved the sources, up to the first that moves none."""
+    moves = []
+    for i in range(1, rounds):
+        before = f"SELECT source_id, trust AS b FROM weight{i - 1}" if i > 1 else f"SELECT DISTINCT source_id, {me.EM_INIT} AS b FROM collapsed"
+        moves.append(
+            f"""SELECT {i} AS round, count(*) FILTER (t.trust <> b) AS sources, coalesce(sum(n) FILTER (t.trust <> b), 0) AS claims,
+            max(abs(t.trust - b)) AS largest FROM weight{i} t JOIN ({before}) USING (source_id)
+            JOIN (SELECT source_id, count(*) AS n FROM collapsed GROUP BY source_id) USING (source_id)"""
+        )
+    final = f"""SELECT round, sources, CAST(claims AS BIGINT) AS claims, round(largest, 9) AS largest FROM moves
+      WHERE round <= coalesce((SELECT min(round) FROM moves WHERE sources = 0), {rounds})"""
+    return assemble(final, **_em_parts(rounds), moves=" UNION ALL ".join(moves))
+
+
+@query("em_convergence", _convergence_sql(me.EM_ROUNDS))
+def _(spark, sf):
+    collapsed, _, _ = me.prepare(tables.claims(spark, sf))
+    report = discover_truth(collapsed, me.EM_ROUNDS, me.EM_INIT)[1]
+    return report.select("round", "sources", "claims", F.round("largest", 9).alias("largest"))
+
+
 # -------------------------------------------------------------- evaluation
 def _scored(spark, sf):
     collapsed, silver, trust = tables.learned_trust(spark, sf)

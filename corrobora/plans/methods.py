@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora.functions.ids import portable_hash
+from corrobora.operators.discovery import discover_truth
 from corrobora.operators.evaluate import quality
 from corrobora.operators.fuse import collapse_per_source, fixed_point, rank_fuse, vote_fuse
 from corrobora.operators.joins import lookup_join
@@ -23,7 +24,7 @@ from corrobora.operators.trust import (
     trust_table,
 )
 from corrobora.schema import GROUP, SOURCE_FIELD
-from corrobora.session import bucketed, pin
+from corrobora.session import pin
 
 # Decay rate per unit of ts, start weight and rounds of truth discovery,
 # the weight of a source without evidence.
@@ -101,33 +102,11 @@ def trust_vote(claims: DataFrame, trust: DataFrame) -> DataFrame:
 def em_truth(
     collapsed: DataFrame, n_iter: int = EM_ROUNDS, init: float = EM_INIT, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Iterative truth discovery: vote, re-weigh each source by its agreement, repeat.
+    """Iterative truth discovery: vote, re-weigh each source by its agreement, repeat; the last vote.
 
-    The claims are written once, bucketed and sorted by group, to the shared
-    folder, with as many buckets as their size asks for. The votes and the
-    agreement join of every round then need no shuffle of claims; only
-    the per-source weights move. Collapsed claims have at most one row per source
-    in a group, which bounds what one bucket gets. Returns the last vote.
+    See :func:`corrobora.operators.discovery.discover_truth`.
     """
-    keys = [*by, *GROUP]
-    with bucketed(collapsed.select(*keys, "source_id", "value"), keys) as work:
-        weights = None
-        for step in range(n_iter):
-            weighted = (
-                work.withColumn("trust", F.lit(float(init)))
-                if weights is None
-                else join_trust(work, weights, COLD, by=[*by, "source_id"])
-            )
-            truth = vote_fuse(weighted, group=keys)
-            if step < n_iter - 1:
-                weights = pin(hit_rate(adjudicate_fused(work, truth, keys), [*by, "source_id"]), "weights")
-        return pin(truth, "truth")
-
-
-def adjudicate_fused(claims: DataFrame, fused: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Whether each claim agrees with the fused value of its group, as ``x``."""
-    winners = fused.withColumnRenamed("value", "_truth")
-    return claims.join(winners, list(keys)).withColumn("x", (F.col("value") == F.col("_truth")).cast("byte"))
+    return discover_truth(collapsed, n_iter, init, by)[0]
 
 
 # ------------------------------------------------------------ many methods

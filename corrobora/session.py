@@ -108,19 +108,28 @@ def release(*tables: DataFrame) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Spark refuses tables of 100,000 buckets and more.
+MOST_BUCKETS = 50_000
+
+
 @contextmanager
 def bucketed(df: DataFrame, keys: Sequence[str], bucket_bytes: int = 64 << 20) -> Iterator[DataFrame]:
     """``df`` as a table in the shared folder, bucketed and sorted by ``keys``; dropped when the scope ends.
 
-    Bucket count from the size that the planner knows of ``df`` (exact for pinned
-    tables), at least one per core. Aggregations and joins on the keys read it without a shuffle.
+    ``df`` is pinned first, so that the bucket count comes from its true size and not from an estimate: one per
+    ``bucket_bytes``, at least one per core and at most :data:`MOST_BUCKETS`. Aggregations and joins on the keys
+    read the table without a shuffle.
     """
     spark = df.sparkSession
+    fresh = not getattr(df, "_pinned", None)
+    df = pin(df, "unbucketed")
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(spark.sparkContext.defaultParallelism, -(-size // bucket_bytes))
+    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-size // bucket_bytes)))
     name, path = f"bucketed_{uuid.uuid4().hex}", scratch_path(spark, "bucketed")
     dealt = df.repartition(buckets, *keys)
     dealt.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    if fresh:
+        release(df)
     table = spark.table(name)
     try:
         yield table

@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corrobora.operators import fuse, silver as sv
+from corrobora.operators import discovery, fuse, silver as sv
+from corrobora.operators.discovery import discover_truth
 from corrobora.plans import methods as me
 from corrobora.schema import validate_claims
+from corrobora.session import bucketed
 
 
 def random_claims(seed, n=600, hot=0.33):
@@ -162,7 +164,38 @@ def test_truth_discovery_against_plain_rounds(make_claims, rows_of):
         for c in claims:
             hits[c["source_id"]].append(truth[c["cluster_id"], c["field"]] == c["value"])
         weight = {s: (sum(h) + 1.0) / (len(h) + 2.0) for s, h in hits.items()}
-    assert rows_of(me.em_truth(collapsed)) == sorted((*g, v) for g, v in truth.items())
+    want = sorted((*g, v) for g, v in truth.items())
+    assert rows_of(me.em_truth(collapsed)) == want
+    for most in (0.0, 2.0):  # every round votes on everything, or on the touched groups only
+        found, report = discover_truth(collapsed, 10, 0.8, most=most)
+        assert rows_of(found) == want
+        assert [r.full for r in report.collect()][:-1] == [most == 0.0] * (report.count() - 1)
+    lines = report.collect()
+    assert [r.round for r in lines] == [*range(1, len(lines) + 1)] and all(r.sources for r in lines[:-1])
+
+
+def test_truth_discovery_takes_joined_and_empty_tables_and_freezes_small_moves(make_claims, rows_of, spark):
+    rows = [r[:6] for r in random_claims(5)]
+    collapsed = fuse.collapse_per_source(make_claims(rows))
+    joined = collapsed.join(spark.range(3).withColumn("seed", F.col("id") + 0), F.lit(True)).drop("id")
+    want = rows_of(me.em_truth(collapsed))
+    assert rows_of(me.em_truth(joined, by=["seed"])) == sorted((s, *r) for r in want for s in range(3))
+    truth, report = discover_truth(collapsed.limit(0), 10, 0.8)
+    assert truth.collect() == [] and [r.sources for r in report.collect()] == [0]
+    loose, report = discover_truth(collapsed, 10, 0.8, bound=1.0)
+    assert report.count() == 1 and rows_of(loose) == rows_of(me.cluster_majority(collapsed))
+
+
+def test_votes_of_truth_discovery_shuffle_no_claims(make_claims):
+    collapsed = fuse.collapse_per_source(make_claims([r[:6] for r in random_claims(5)]))
+    keys = ["cluster_id", "field"]
+    with bucketed(collapsed, keys) as claims:
+        weights = claims.select("source_id").distinct().withColumn("trust", F.lit(0.8)).withColumn("before", F.lit(0.7))
+        for hits in (discovery._hits, discovery._gained):
+            plan = hits(claims, weights, keys, ["source_id"])._jdf.queryExecution().executedPlan().toString()
+            moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+            assert moved and all("source_id" in line for line in moved)
+            assert "SortMergeJoin" in plan
 
 
 def test_learned_trust_beats_majority_on_planted_truth(spark):
