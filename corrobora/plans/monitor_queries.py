@@ -25,6 +25,7 @@ from corrobora.plans.sqlparts import (
     windows_part,
 )
 from corrobora.session import pin, scratch_path
+from corrobora.streaming.keyed import KeyedFusion, late_outcomes
 from corrobora.streaming.live import (
     BatchTable,
     LiveFusion,
@@ -540,6 +541,60 @@ def _(spark, sf):
     return latest(table, ["cluster_id", "field"])
 
 
+def _keyed(spark, sf) -> KeyedFusion:
+    stream, _, silver = _batches(spark, sf)
+    live = KeyedFusion(spark, scratch_path(spark, "keyed"), silver, label_sample(FRACTION, F.col("batch") - 1))
+    live.start(stream).awaitTermination()
+    return live
+
+
+@query("stream_keyed_fuse", assemble("SELECT b AS batch_id, cluster_id, field, value FROM fusedb", **_stream_parts()))
+def _(spark, sf):
+    return _keyed(spark, sf).fused.all().select(F.col("batch_id").cast("long"), "cluster_id", "field", "value")
+
+
+@query(
+    "stream_keyed_evidence",
+    assemble(
+        f"""SELECT b AS batch_id, source_id, field, succ, fail FROM stateb WHERE b IN (2, {N_BATCHES - 1})""",
+        **_stream_parts(),
+    ),
+)
+def _(spark, sf):
+    live = _keyed(spark, sf)
+    versions = [live.evidence(b).select(F.lit(b).cast("long").alias("batch_id"), "*") for b in (2, N_BATCHES - 1)]
+    return versions[0].unionByName(versions[1])
+
+
+KEPT_DAYS = 30
+
+
+@query(
+    "stream_interval_labels",
+    assemble(
+        f"SELECT source_id, field, {COUNTS} FROM judgedl GROUP BY ALL",
+        colla=collapse_sql("stream"),
+        labelled="""SELECT cluster_id, field, any_value(s.value) AS value, max(c.ts) AS at
+          FROM colla c JOIN streamsilver s USING (cluster_id, field) GROUP BY cluster_id, field""",
+        judgedl=f"""SELECT c.source_id, c.field, CAST(c.value = l.value AS BIGINT) AS x
+          FROM colla c JOIN labelled l USING (cluster_id, field) WHERE l.at - c.ts <= {KEPT_DAYS * 86400}""",
+    ),
+)
+def _(spark, sf):
+    claims = tables.event_claims(spark, sf)
+    _, silver, _ = me.prepare(claims)
+    at = F.timestamp_micros((F.col("ts") * 1000000).cast("long"))
+    collapsed = pin(time_windows(fuse.collapse_per_source(claims), N_BATCHES, name="batch"))
+    stream = _arrivals(spark, collapsed).withColumn("claimed", at)
+    labels = silver.join(collapsed.groupBy("cluster_id", "field").agg(F.max("ts").alias("ts")), ["cluster_id", "field"])
+    folder = scratch_path(spark, "labels")
+    labels.select("cluster_id", "field", "value", at.alias("labelled")).repartition(FILES).write.parquet(folder)
+    told = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    table = BatchTable(spark, scratch_path(spark, "outcomes"))
+    _follow(spark, late_outcomes(stream, told, "claimed", "labelled", f"{KEPT_DAYS} DAYS", "3650 days"), "append", upsert(table))
+    return tr.trust_counts(table.all())
+
+
 @query("bounded_claims", assemble("SELECT cluster_id, field, value, source_id, ts, offer_id FROM stream"))
 def _(spark, sf):
     cut = pin(time_windows(tables.event_claims(spark, sf), N_BATCHES, name="batch"))
@@ -623,6 +678,16 @@ METRICS_B = """SELECT b AS batch_id, batch_rows, round(coalesce(F1, 0.0), 6) AS
   LEFT JOIN (SELECT b, count(*) AS trust_pairs FROM stateb GROUP BY b) USING (b)"""
 
 
+@query(
+    "stream_keyed_metrics",
+    assemble("SELECT * EXCLUDE (trust_pairs) FROM metricsb", **_stream_parts(), metricsb=METRICS_B),
+)
+def _(spark, sf):
+    metrics = _keyed(spark, sf).metrics()
+    whole = [F.col(c).cast("long") for c in ("batch_id", "batch_rows", "n_eval")]
+    return _round(metrics.select(*whole, "updates", "F1"), "F1")
+
+
 @query("batch_metrics", assemble(METRICS_B, **_stream_parts()))
 def _(spark, sf):
     metrics = _live(spark, sf).tables["metrics"].all()
