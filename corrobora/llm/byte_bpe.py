@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -19,11 +20,13 @@ from corrobora.llm.common import load, ship
 
 #: Characters of text that are encoded and decoded together (a longer document is taken alone).
 TOGETHER = 4_000_000
-#: Matches that one recursive query contracts.
-WORDS = 25_000
+#: What one recursive query contracts: so many matches, whose squared byte lengths add up to so much (it keeps half as many rows).
+WORDS, SQUARES = 25_000, 12_000_000
+#: Ids that one query decodes.
+DECODED = 500_000
 #: Matches remembered per worker; beyond, the memory starts anew.
 MEMORY = 800_000
-#: Matches of more bytes are contracted by a heap: the query's rows would grow with the square of the length.
+#: Matches of more bytes are contracted by a heap: the query's rows grow with the square of the length.
 LONG = 256
 
 #: Each step finds every word's least (rank, position) among its neighbouring pairs and contracts that pair.
@@ -62,6 +65,7 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.memory: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         merges = [
             (self.ranks[token[:k]] << 32 | self.ranks[token[k:]], rank)
@@ -81,7 +85,7 @@ class ByteBPE:
         self.con.unregister("incoming")
 
     def _contract(self, words: list[str]) -> None:
-        """Remember the ids of up to :data:`WORDS` words that are not remembered yet."""
+        """Remember the ids of words that are not remembered yet, within :data:`WORDS` and :data:`SQUARES`."""
         raw = [w.encode() for w in words]
         lengths = np.array([len(r) for r in raw])
         joined = np.frombuffer(b"".join(raw), np.uint8)
@@ -92,11 +96,12 @@ class ByteBPE:
             "id": pa.array(self.single[joined]),
         })
         found = self.con.sql(CONTRACT).fetchnumpy()
-        data = np.asarray(found["id"], "<u4").tobytes()
+        ids = np.asarray(found["id"], "<u4")
+        data, listed = ids.tobytes(), [*map(str, ids.tolist())]
         ends = np.searchsorted(np.asarray(found["word"]), np.arange(len(raw)), side="right") * 4
         at = 0
         for word, end in zip(words, ends.tolist()):
-            self.memory[word] = data[at:end]
+            self.memory[word], self.shown[word] = data[at:end], ",".join(listed[at // 4 : end // 4])
             at = end
 
     def _contract_long(self, word: str) -> bytes:
@@ -125,36 +130,61 @@ class ByteBPE:
                     heappush(heap, again)
         return np.array([self.ranks[p] for p in parts if p is not None], "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def matches(self, texts: list[str]) -> list[list[str]]:
+        """The matches of each text, all of them remembered."""
         matches = [self.pattern.findall(text) for text in texts]
         if len(self.memory) > MEMORY:
             self.memory.clear()
+            self.shown.clear()
         new = [w for w in dict.fromkeys(w for found in matches for w in found) if w not in self.memory]
-        short = []
-        for w in new:
-            if len(w) * 4 > LONG and len(w.encode()) > LONG:
-                self.memory[w] = self._contract_long(w)
+        for part in _batches([(len(w.encode()), w) for w in new]):
+            if part[0][0] > LONG:
+                for _, w in part:
+                    self.memory[w] = self._contract_long(w)
+                    self.shown[w] = ",".join(map(str, np.frombuffer(self.memory[w], "<u4").tolist()))
             else:
-                short.append(w)
-        for k in range(0, len(short), WORDS):
-            self._contract(short[k : k + WORDS])
-        return [b"".join(map(self.memory.__getitem__, found)) for found in matches]
+                self._contract([w for _, w in part])
+        return matches
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [b"".join(map(self.memory.__getitem__, found)) for found in self.matches(texts)]
+
+    def encode_shown(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """:meth:`encode`, and the ids of each text as decimals joined by commas."""
+        matches = self.matches(texts)
+        return (
+            [b"".join(map(self.memory.__getitem__, found)) for found in matches],
+            [",".join(map(self.shown.__getitem__, found)) for found in matches],
+        )
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each id list: joined with the vocabulary and aggregated in order of position."""
+        """The bytes of each id list: joined with the vocabulary and aggregated in order of position, a range of positions at a time."""
         lengths = [len(x) for x in ids]
-        if not sum(lengths):
-            return [b""] * len(ids)
-        self._table("ids", {
-            "doc": pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), lengths)),
-            "pos": pa.array(np.arange(sum(lengths), dtype=np.int64)),
-            "id": pa.array(np.concatenate(ids).astype(np.int32)),
-        })
-        out = [b""] * len(ids)
-        for doc, decoded in self.con.sql(DECODE).fetchall():
-            out[doc] = decoded.encode("latin-1")
-        return out
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        joined = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
+        parts: list[list[str]] = [[] for _ in ids]
+        for at in range(0, len(joined), DECODED):
+            part = joined[at : at + DECODED]
+            columns = {"doc": pa.array(owner[at : at + DECODED]), "pos": pa.array(np.arange(len(part), dtype=np.int32)), "id": pa.array(part)}
+            self._table("ids", columns)
+            for doc, decoded in self.con.sql(DECODE).fetchall():
+                parts[doc].append(decoded)
+        return ["".join(p).encode("latin-1") for p in parts]
+
+
+def _batches(words: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Matches (bytes, match) by rising length, in batches that one query can hold; those beyond :data:`LONG` come last, together."""
+    words.sort(key=itemgetter(0))
+    part, held = [], 0
+    for size, word in words:
+        if part and (len(part) == WORDS or held + size * size > SQUARES or size > LONG >= part[-1][0]) and part[-1][0] <= LONG:
+            yield part
+            part, held = [], 0
+        part.append((size, word))
+        held += size * size
+    if part:
+        yield part
 
 
 @lru_cache(maxsize=1)
@@ -178,7 +208,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row, ids as little-endian unsigned 32-bit integers, without a shuffle.
 
     Every match of ``pattern`` is contracted by itself, as the rank file
-    orders. Null and empty texts have no ids; repeated rows and null ids give
+    orders. Very long texts and matches go through the queries in parts of bounded size. Null and empty texts have no ids; repeated rows and null ids give
     a row each; an empty table none. Other columns are not read.
     """
 
@@ -203,12 +233,12 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for frame in frames:
             texts = [t or "" for t in frame["text"]]
             for part in _together(texts):
-                ids = [np.frombuffer(x, "<u4") for x in bpe.encode(texts[part])]
-                listed = [",".join(map(str, x.tolist())).encode() for x in ids]
+                coded, listed = bpe.encode_shown(texts[part])
+                ids = [np.frombuffer(x, "<u4") for x in coded]
                 yield pd.DataFrame({
                     "doc_id": frame["doc_id"].iloc[part].astype("Int64"),
                     "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in listed],
+                    "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in listed],
                     "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in bpe.decode(ids)],
                 })
 

@@ -101,6 +101,36 @@ def test_long_matches_contract_alike(text):
         assert bpe.memory[match] == bpe._contract_long(match)
 
 
+def _runs(n, length, alphabet, seed=5):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(alphabet, k=length)) for _ in range(n)]
+
+
+CJK = [chr(c) for c in range(0x4E00, 0x5000)]
+LONG_RUNS = {
+    "runs of 20": "，".join(_runs(25_000, 20, CJK)),
+    "runs of 60": "，".join(_runs(1_000, 60, CJK)),
+    "words of 100": " ".join(_runs(5_000, 100, "abcdefghijklmnopqrstuvwxyz")),
+    "runs of 600": " ".join(_runs(40, 600, CJK)),
+    "beyond the heap's length": "x".join(_runs(3, 3_000, "abcdefgh")) + " " + "ab" * 20_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_RUNS)
+def test_long_runs_stay_within_the_memory_of_the_database(bpe, reference, name):
+    text = LONG_RUNS[name]
+    ids = [np.frombuffer(x, "<u4") for x in bpe.encode([text])]
+    assert ids[0].tolist() == reference.encode_ordinary(text)
+    assert bpe.decode(ids) == [text.encode()]
+    assert bpe.encode_shown(["", text])[1] == ["", ",".join(map(str, ids[0].tolist()))]
+
+
+def test_decoding_of_millions_of_ids(bpe):
+    one = np.frombuffer(bpe.encode(["hello wörld"])[0], "<u4")
+    ids = np.tile(one, 4_000_000 // len(one) + 1)
+    assert bpe.decode([ids[:0], ids, one]) == [b"", "hello wörld".encode() * (len(ids) // len(one)), "hello wörld".encode()]
+
+
 def test_digests(spark, reference):
     frame = spark.createDataFrame([*DOCS, (None, "x y"), (0, "again")], "doc_id long, text string")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
