@@ -91,11 +91,24 @@ class Discriminant:
         return np.round(1 / (1 + np.exp(-gap)), 9)
 
 
+#: Variance from which a statistic has a scale of its own; sums are rounded to 9 places.
+LEAST_VARIANCE = 1e-6
+
+
+def _definite(cov: np.ndarray) -> np.ndarray:
+    """The matrix, with eigenvalues raised to a floor if any lies below it."""
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    floor = max(1e-7, 1e-6 * values[-1])
+    return cov if values[0] >= floor else (vectors * np.maximum(values, floor)) @ vectors.T
+
+
 def fit_moments(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float, ridge: float) -> Discriminant:
     """The discriminant from each class's (count, sums, sums of products).
 
     ``pool`` shrinks a class covariance towards the pooled one, ``ridge`` the
-    result towards a multiple of the identity.
+    result towards a multiple of the identity. A statistic that hardly varies
+    (repeated rows, templates, very few labels) keeps its own unit, and no
+    eigenvalue falls below what rounding of the sums can hide, so every table has a factor.
     """
     d = len(STATISTICS)
     moments = {k: m for k, m in moments.items() if m[0] > 0}
@@ -104,7 +117,8 @@ def fit_moments(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pool:
     total = sum(m[0] for m in moments.values())
     centre = sum(m[1] for m in moments.values()) / total
     spread = sum(m[2] for m in moments.values()) / total - np.outer(centre, centre)
-    scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
+    varies = np.diag(spread) > LEAST_VARIANCE
+    scale = np.sqrt(np.where(varies, np.diag(spread), 1.0))
     means, covs, counts = [], [], []
     for k in sorted(moments):
         n, first, second = moments[k]
@@ -117,7 +131,7 @@ def fit_moments(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pool:
     for cov in covs:
         shrunk = (1 - pool) * cov + pool * pooled
         shrunk = (1 - ridge) * shrunk + (ridge * max(np.trace(shrunk) / d, 1e-6)) * np.eye(d)
-        factors.append(np.linalg.cholesky(shrunk))
+        factors.append(np.linalg.cholesky(_definite(shrunk)))
     return Discriminant(centre, scale, tuple(means), tuple(factors), tuple(float(np.log(n / total)) for n in counts))
 
 

@@ -46,6 +46,42 @@ def test_classifier_on_odd_tables(spark):
     assert qc.fit(load(spark, SF, "documents"), twice.union(twice)).means is not None
 
 
+def _moments(texts, labels):
+    x, y = qc.statistics_matrix(texts), np.array(labels)
+    sums = {k: (float((y == k).sum()), x[y == k].sum(0), x[y == k].T @ x[y == k]) for k in (0, 1)}
+    return {k: (n, np.round(a, 9), np.round(b, 9)) for k, (n, a, b) in sums.items()}
+
+
+TEMPLATES = [f"Order number {k:05d} was shipped today." for k in range(4000)]
+DEGENERATE = {
+    "8 equal": (["the same text"] * 8, [0, 1] * 4),
+    "1000 equal": (["the same text, again and again"] * 1000, [0] * 400 + [1] * 600),
+    "two": (["good words in a row", "$$$ ### !!!"], [1, 0]),
+    "two alike": (["alike", "alike"], [1, 0]),
+    "templates": (TEMPLATES, [k % 2 for k in range(4000)]),
+    "empty": (["", None, "", None], [0, 1, 1, 0]),
+    "one class flat": (["flat"] * 50 + [f"w{k} " * (k + 1) for k in range(50)], [0] * 50 + [1] * 50),
+}
+
+
+@pytest.mark.parametrize("name", DEGENERATE)
+def test_a_fit_never_fails(name):
+    texts, labels = DEGENERATE[name]
+    model = qc.fit_moments(_moments(texts, labels), 0.5, 0.02)
+    scores = model.score(qc.statistics_matrix([*texts, "", "other " * 5000, "x"]))
+    assert np.isfinite(scores).all() and (scores >= 0).all() and (scores <= 1).all()
+    if name == "two":
+        assert scores[0] > 0.5 > scores[1]
+    if "equal" in name or "alike" in name:
+        assert scores[0] == pytest.approx(sum(labels) / len(labels), abs=1e-3)  # nothing but the prior
+
+
+def test_few_labels_on_near_equal_texts(spark):
+    docs = spark.createDataFrame([(k, f"Order number {k:05d} was shipped.") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    assert qc.accept(docs, labels, least=0.0).count() == 40
+
+
 TEXTS = [None, "", " \t\n", "one", "a b c d e f g h a b c d e f g h", "x y " * 30, "# | <b> $5 & 50% *", "l1 x\nl1 x\n\n\nl1 x\n \n ",
          "é ü z\x0bq\x0cr", " ".join(f"w{k}" for k in range(30)), "w " * 20000, "same eight words in this very window now " * 2 + "tail"]
 
