@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora.llm.common import load, ship, whole_text
-from corrobora.llm.encoding import _PRINTABLE, _SHOWN, MEMORY, vocabulary_path
+from corrobora.llm.encoding import _PRINTABLE, _SHOWN, vocabulary_path
 from corrobora.operators.joins import lookup_join
 from corrobora.session import narrow, pin
 
 PIECES = "piece_bpe_32k.model"
-#: Longest unit that a worker remembers, in characters.
-REMEMBERED = 64
+#: Units that a worker remembers, beyond which the memory starts anew, and the longest of them in characters.
+MEMORY, REMEMBERED = 300_000, 64
 #: Marks that, after letters, may be aligned apart from them.
 MARKS = ".,;:!?%&*$#)\"|"
 #: Documents per output batch, so that a batch of link arrays stays small.
