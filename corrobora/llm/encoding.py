@@ -27,7 +27,8 @@ class WordEncoder(dict):
     that follows a non-blank, nor across a line break between two non-blanks.
     So a text whose blanks are all single is cut at its spaces and line breaks,
     and each distinct piece goes through the library once. Any other text, and
-    any whose blanks are not the two, goes through the library whole.
+    any whose blanks are not the two, goes through the library in parts cut
+    before such blanks; a text that holds an added token (``<|endoftext|>``) goes through it whole.
 
     The keys are pieces: one that begins with a line break stands for itself,
     any other for itself after a space.
@@ -38,7 +39,8 @@ class WordEncoder(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: what the library takes as one token wherever it stands in a text
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.n_ids = self.library.get_vocab_size()
         self.marks = {mark: self.whole(mark) for mark in (".", ",", "\n")}
@@ -69,6 +71,8 @@ class WordEncoder(dict):
         """The ids of a whole text, null as empty."""
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self.whole(text)
         if _AMBIGUOUS.search(text) or text[-1].isspace() or text[0].isspace():
             return b"".join([self.whole(part) for part in _safe_parts(text)])
         if len(self) > MEMORY:
