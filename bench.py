@@ -20,7 +20,8 @@ from corrobora.operators.monitor import batch_summary
 from corrobora.operators.prepare import dict_encode, replicate_claims
 from corrobora.plans import catalog, methods as me, monitor_queries as mq, tables
 from corrobora.session import local_session, pin, scratch_path
-from corrobora.streaming.live import LiveFusion, batch_latency
+from corrobora.streaming.keyed import KeyedFusion
+from corrobora.streaming.live import LiveFusion, batch_latency, label_sample
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -43,11 +44,17 @@ def stream_latency(spark) -> dict[str, float]:
     """Mean and 95th percentile of the engine's time per micro-batch of the event stream, and rows per batch."""
     stream, cut, silver = mq._batches(spark, SF_DIR)
     live = LiveFusion(spark, scratch_path(spark, "live"), silver, label_fraction=0.2)
-    running = live.start(stream).trigger(availableNow=True).start()
-    running.awaitTermination()
-    scored = batch_latency(running, spark).withColumn("F1", F.lit(0.0))
-    line = batch_summary(scored, "latency_s").first()
-    return {"mean_s": round(line["mean_latency_s"], 3), "p95_s": round(line["p95_latency_s"], 3), "rows": cut.count() // mq.N_BATCHES}
+    keyed = KeyedFusion(spark, scratch_path(spark, "keyed"), silver, label_sample(0.2, F.col("batch") - 1))
+    found = {"rows": cut.count() // mq.N_BATCHES}
+    for name, running in (("keyed", keyed.start(stream)), ("", live.start(stream).trigger(availableNow=True).start())):
+        running.awaitTermination()
+        scored = batch_latency(running, spark).withColumn("F1", F.lit(0.0))
+        if name:  # once the engine is warm
+            scored = scored.filter("batch > 1")
+        line = batch_summary(scored, "latency_s").first()
+        prefix = f"{name}_" if name else ""
+        found |= {f"{prefix}mean_s": round(line["mean_latency_s"], 3), f"{prefix}p95_s": round(line["p95_latency_s"], 3)}
+    return found
 
 
 GRID = ("recency_first", *me.RANK_METHODS, *me.VOTE_METHODS)

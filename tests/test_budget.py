@@ -1,7 +1,7 @@
 from corrobora.plans import catalog, monitor_queries
 
 
-def test_budgets_are_those_of_the_reference():
-    """exp02_budget.py runs five budgets; query and SQL follow from the same constant."""
+def test_budgets():
+    """Five budgets; query and SQL follow from the same constant."""
     assert monitor_queries.BUDGETS == (25, 50, 100, 200, 300)
     assert "unnest([25, 50, 100, 200, 300])" in catalog.SQL["budget_curve"]
