@@ -18,7 +18,7 @@ from corrobora.plans.sqlparts import (
     assemble,
     collapse_sql,
     hash_sql,
-    lcb_sql,
+    lcb_fraction_sql, lcb_sql,
     rank_sql,
     trust_join_sql,
     vote_sql,
@@ -197,7 +197,16 @@ BUDGET_METHODS = ("weighted_vote_global", "weighted_vote_field", "vote_mean", "v
 
 
 def _budget_sql() -> str:
-    b_keys = "budget, seed, cluster_id, field"
+    """One pass over the test claims: a column of weights, and then of votes, for each method."""
+    tables_of = {"weighted_vote_global": "b_rate", "weighted_vote_field": "b_ratefield", "vote_mean": "b_mean"}
+    tables_of |= {"vote_lcb": "b_lcb", "vote_lcb_decay": "b_lcbfade"}
+    ms = range(len(BUDGET_METHODS))
+    joins = "".join(
+        f" LEFT JOIN {tables_of[m]} t{i} ON g.budget = t{i}.budget AND g.seed = t{i}.seed AND p.source_id = t{i}.source_id"
+        + ("" if m == "weighted_vote_global" else f" AND p.field = t{i}.field")
+        for i, m in enumerate(BUDGET_METHODS)
+    )
+    weights = ", ".join(f"CAST(round_even(coalesce(t{i}.trust, 0.5) * 4294967296.0, 0) AS BIGINT) AS w{i}" for i in ms)
     extra = {
         "place": f"""SELECT cluster_id, row_number() OVER (ORDER BY {hash_sql('123', 'cluster_id')}, cluster_id) AS place
           FROM (SELECT DISTINCT cluster_id FROM silver)""",
@@ -208,26 +217,23 @@ def _budget_sql() -> str:
         "btrain": "SELECT c.budget, c.seed, a.* FROM adj a JOIN chosen c USING (cluster_id)",
         "bcounts": f"SELECT budget, seed, source_id, field, {COUNTS} FROM btrain GROUP BY ALL",
         "b_mean": f"SELECT budget, seed, source_id, field, {MEAN} AS trust FROM bcounts",
-        "b_lcb": lcb_sql("bcounts", "budget, seed, source_id, field"),
+        "b_lcb": lcb_fraction_sql("bcounts", "budget, seed, source_id, field"),
         "bfaded": f"""SELECT budget, seed, source_id, field, {DECAYED} FROM (
           SELECT *, exp(-1e-8 * greatest((SELECT max(ts) FROM collapsed) - ts, 0.0)) AS w FROM btrain) GROUP BY ALL""",
-        "b_lcbfade": lcb_sql("bfaded", "budget, seed, source_id, field"),
+        "b_lcbfade": lcb_fraction_sql("bfaded", "budget, seed, source_id, field"),
         "b_rate": "SELECT budget, seed, source_id, (sum(x) + 1.0) / (count(*) + 2.0) AS trust FROM btrain GROUP BY ALL",
         "b_ratefield": "SELECT budget, seed, source_id, field, CAST(sum(x) AS DOUBLE) / count(*) AS trust FROM btrain GROUP BY ALL",
         "bgoal": f"SELECT s.* FROM silver s JOIN place p USING (cluster_id) WHERE p.place > {max(BUDGETS)}",
-        "btest": """SELECT g.budget, g.seed, c.* FROM collapsed c JOIN bgoal s USING (cluster_id, field),
-          (SELECT DISTINCT budget, seed FROM chosen) g""",
+        "btest": "SELECT c.cluster_id, c.field, c.source_id, c.value FROM collapsed c JOIN bgoal s USING (cluster_id, field)",
+        "bweights": f"""SELECT g.budget, g.seed, p.source_id, p.field, {weights}
+          FROM (SELECT DISTINCT budget, seed FROM chosen) g CROSS JOIN (SELECT DISTINCT source_id, field FROM btest) p{joins}""",
+        "bvotes": f"""SELECT budget, seed, cluster_id, field, value, {", ".join(f"sum(w{i}) AS w{i}" for i in ms)}
+          FROM btest JOIN bweights USING (source_id, field) GROUP BY ALL""",
+        "bwinners": f"""SELECT budget, seed, cluster_id, field,
+          {", ".join(f"arg_max(value, struct_pack(w := w{i}, v := value)) AS v{i}" for i in ms)} FROM bvotes GROUP BY ALL""",
+        "brows": f"""SELECT unnest({list(BUDGET_METHODS)}) AS method, budget, seed, cluster_id, field,
+          unnest([{", ".join(f"v{i} = s.value" for i in ms)}]) AS ok FROM bwinners JOIN bgoal s USING (cluster_id, field)""",
     }
-    parts = {"weighted_vote_global": ("b_rate", False), "weighted_vote_field": ("b_ratefield", True), "vote_mean": ("b_mean", True)}
-    parts |= {"vote_lcb": ("b_lcb", True), "vote_lcb_decay": ("b_lcbfade", True)}
-    for name, (table, by_field) in parts.items():
-        on = "c.budget = t.budget AND c.seed = t.seed AND c.source_id = t.source_id" + (" AND c.field = t.field" if by_field else "")
-        extra[f"bw_{name}"] = f"""SELECT c.budget, c.seed, c.cluster_id, c.field, c.value, coalesce(t.trust, 0.5) AS trust
-          FROM btest c LEFT JOIN {table} t ON {on}"""
-        extra[f"bp_{name}"] = vote_sql(f"bw_{name}", b_keys)
-    extra["bguess"] = " UNION ALL ".join(f"SELECT '{m}' AS method, {b_keys}, value FROM bp_{m}" for m in parts)
-    extra["brows"] = """SELECT g.method, g.budget, g.seed, s.cluster_id, s.field, g.value = s.value AS ok
-      FROM bgoal s JOIN bguess g USING (cluster_id, field)"""
     return assemble(
         """SELECT budget, seed, method, round(F1, 6) AS F1, round(EM, 6) AS EM, round(n, 6) AS mean_n_eff FROM (
           SELECT budget, seed, method, avg(p) AS F1 FROM (

@@ -18,6 +18,27 @@ def lcb_sql(counts: str, key: str, delta: float = 0.05) -> str:
       ) SELECT * FROM bisect WHERE step = 42)"""
 
 
+def lcb_fraction_sql(counts: str, key: str, delta: float = 0.05, levels: int = 60) -> str:
+    """The quantile of :func:`lcb_sql` for many rows: once per distinct pair of counts, by the continued fraction.
+
+    The fraction converges fast below (a + 1) / (a + b + 2), where the distribution function is far above ``delta`` already.
+    """
+    front = "exp(pa*ln(mid) + pb*ln(1-mid) + lgamma(pa+pb) - lgamma(pa) - lgamma(pb) - ln(pa))"
+    even = "(k//2)*(pb-k//2)*mid / ((pa+k-1)*(pa+k))"
+    odd = "-(pa+k//2)*(pa+pb+k//2)*mid / ((pa+k-1)*(pa+k))"
+    levels_down = f"list_transform(range({levels}, 0, -1), lambda k: CASE WHEN k % 2 = 0 THEN {even} ELSE {odd} END)"
+    fraction = f"list_reduce(list_prepend(1.0::DOUBLE, {levels_down}), lambda f, d: 1 + d / f)"
+    return f"""
+    SELECT {key}, (lo + hi) / 2 AS trust FROM {counts} JOIN (
+      WITH RECURSIVE bisect AS (
+        SELECT DISTINCT succ, fail, 2.0 + succ AS pa, 2.0 + fail AS pb, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM {counts}
+        UNION ALL
+        SELECT succ, fail, pa, pb, CASE WHEN cdf < {delta} THEN mid ELSE lo END, CASE WHEN cdf < {delta} THEN hi ELSE mid END, step + 1
+        FROM (SELECT *, CASE WHEN mid > (pa + 1) / (pa + pb + 2) THEN 1.0 ELSE {front} / {fraction} END AS cdf
+              FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisect WHERE step < 42))
+      ) SELECT succ, fail, lo, hi FROM bisect WHERE step = 42) USING (succ, fail)"""
+
+
 def vote_sql(source: str, keys: str = "cluster_id, field", weight: str = "trust") -> str:
     return f"""
     SELECT {keys}, arg_max(value, struct_pack(w := w, v := value)) AS value FROM (
