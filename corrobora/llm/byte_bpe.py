@@ -30,22 +30,22 @@ MEMORY = 800_000
 LONG = 256
 
 #: Each step finds every word's least (rank, position) among its neighbouring pairs and contracts that pair.
-#: Words without a pair leave; the rows of each word's last step are its ids.
+#: A word without a pair is whole: its rows leave the recursion, and are its ids.
 CONTRACT = """
-WITH RECURSIVE step(word, pos, id, n) AS (
-    SELECT word, pos, id, 0 FROM given
+WITH RECURSIVE step(word, pos, id, whole) AS (
+    SELECT word, pos, id, false FROM given
   UNION ALL
-    SELECT word, pos, CASE WHEN pos = first THEN merged ELSE id END, n + 1
+    SELECT word, pos, CASE WHEN pos = first THEN merged ELSE id END, first IS NULL
     FROM (
-        SELECT word, pos, id, n, merged,
+        SELECT word, pos, id, merged,
                lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before,
                min((merged::BIGINT << 32) | pos) OVER (PARTITION BY word) & 4294967295 AS first
-        FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS following FROM step) pairs
+        FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY pos) AS following FROM step WHERE NOT whole) pairs
         LEFT JOIN merges ON merges.pair = (id::BIGINT << 32) | following
     ) ranked
-    WHERE first IS NOT NULL AND before IS DISTINCT FROM first
+    WHERE first IS NULL OR before IS DISTINCT FROM first
 )
-SELECT word, id FROM (SELECT *, max(n) OVER (PARTITION BY word) AS last FROM step) WHERE n = last ORDER BY word, pos
+SELECT word, id FROM step WHERE whole ORDER BY word, pos
 """
 
 #: Token bytes are kept as characters U+0000 to U+00FF, so that strings of any bytes can be joined.
