@@ -8,6 +8,7 @@ from corrobora.functions.ids import hash_time, source_bucket
 from corrobora.functions.text import norm_number, norm_text
 from corrobora.operators import prepare as pp
 from corrobora.operators.components import connected_components
+from corrobora.operators.incremental import Components
 from corrobora.operators.monitor import resolved_labels, top_sources
 from corrobora.operators.order import arrival_time, time_windows
 from corrobora.plans import methods as me, tables
@@ -226,6 +227,25 @@ def _(spark, sf):
     return connected_components(tables.document_links(spark, sf))
 
 
+@query(
+    "components_incremental",
+    REACH.format(
+        links="""links AS MATERIALIZED (SELECT 'A' || doc_id AS l, 'Btext ' || md5(text) AS r FROM documents
+        UNION SELECT 'A' || doc_id, 'Bsize ' || source || ' ' || n_chars FROM documents WHERE lang <> 'en')"""
+    )
+    + "SELECT node, root FROM member",
+)
+def _(spark, sf):
+    """Links by text first, then those by size as a later batch; the latter are withdrawn again for English documents."""
+    links = tables.document_links(spark, sf)
+    by_text = F.col("right").startswith("Btext ")
+    english = tables.load(spark, sf, "documents").filter("lang = 'en'").select(F.concat(F.lit("A"), F.col("doc_id").cast("string")).alias("left"))
+    gone = links.filter(~by_text).join(english, "left", "left_semi")
+    state = Components.of(links.filter(by_text)).add(links.filter(~by_text))
+    remaining = links.filter(by_text).unionByName(links.filter(~by_text).join(english, "left", "left_anti"))
+    return state.remove(gone, remaining).roots()
+
+
 CUSTOMERS = "SELECT 'A' || c_custkey AS l, 'B' || c_nationkey AS r FROM customer WHERE c_acctbal >= 0"
 
 
