@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.operators.evaluate import micro_prf
-from corrobora.operators.fuse import fixed_point, top_row, vote_fuse
+from corrobora.operators.fuse import fixed_point, vote_fuse
+from corrobora.operators.intervals import at_windows, claim_intervals, interval_evidence, interval_labels
 from corrobora.operators.joins import lookup_join
 from corrobora.operators.trust import DECAY_BITS, DELTA, PRIOR_A, PRIOR_B, trust_counts, trust_table
 from corrobora.schema import GROUP, SOURCE_FIELD
@@ -68,19 +69,9 @@ def mean_range(trust: DataFrame) -> DataFrame:
 def prefix_claims(claims: DataFrame, n_windows: int) -> DataFrame:
     """Collapsed claims of every prefix of windows, tagged ``as_of`` = last window seen.
 
-    Claims are first reduced per window, and only these partial counts are
-    repeated for later prefixes.
+    The states are found as intervals, one per change, and only repeated per window at the end.
     """
-    value_key = [*GROUP, "source_id", "value"]
-    partial = claims.groupBy(*value_key, "window").agg(
-        F.count("*").alias("_n"), F.max("ts").alias("ts"), F.max("offer_id").alias("offer_id")
-    )
-    later = partial.withColumn("as_of", F.explode(F.sequence(F.col("window"), F.lit(n_windows))))
-    counts = later.groupBy("as_of", *value_key).agg(
-        F.sum("_n").alias("_n"), F.max("ts").alias("ts"), F.max("offer_id").alias("offer_id")
-    )
-    best = top_row(counts, ["as_of", *GROUP, "source_id"], ["_n", "ts", "offer_id", "value"])
-    return best.drop("_n")
+    return at_windows(claim_intervals(claims, n_windows))
 
 
 def resolved_labels(silver: DataFrame, claims: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -158,15 +149,14 @@ def prequential_backtest(
     values, so all windows and policies run as one job instead of a loop.
     """
     labelled = lookup_join(claims, pin(silver.select(*GROUP), "groups"), list(GROUP), "left_semi")
-    prefixes = pin(prefix_claims(labelled, n_windows), "prefixes")
-    evidence = pin(windowed_evidence(prefixes, silver), "evidence")
+    intervals = pin(claim_intervals(labelled, n_windows), "intervals")
+    evidence = pin(interval_evidence(intervals, silver, n_windows), "evidence")
     trust = windowed_trust(evidence, policies, n_windows).withColumnRenamed("window", "as_of")
     names = [p.name for p in policies]
     policy = F.explode(F.array(*[F.lit(n) for n in names]))
-    labels = pin(resolved_labels(silver, prefixes, ["as_of"]), "labels")
-    visible = prefixes.join(labels.select("as_of", *GROUP), ["as_of", *GROUP], "left_semi")
+    labels = pin(interval_labels(silver, intervals, n_windows), "labels")
     weighted = lookup_join(
-        visible.withColumn("policy", policy),
+        at_windows(intervals).withColumn("policy", policy),
         trust.select("policy", "as_of", *SOURCE_FIELD, "trust"),
         ["policy", "as_of", *SOURCE_FIELD],
     ).fillna({"trust": PRIOR_MEAN})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corrobora.functions.ids import portable_hash
 from corrobora.operators import evaluate as ev, fuse, monitor as mo, trust as tr
+from corrobora.operators.intervals import claim_intervals, interval_evidence
 from corrobora.operators.order import time_windows
 from corrobora.plans import methods as me, tables
 from corrobora.plans.fusion_queries import SHARE, YEARLY
@@ -352,7 +353,7 @@ def _drift_parts() -> dict[str, str]:
 
 def _trust_by_window(spark, sf) -> DataFrame:
     claims, silver = _windowed(spark, sf)
-    evidence = pin(mo.windowed_evidence(mo.prefix_claims(claims, N_WINDOWS), silver))
+    evidence = pin(interval_evidence(claim_intervals(claims, N_WINDOWS), silver, N_WINDOWS))
     return mo.windowed_trust(evidence, POLICIES, N_WINDOWS)
 
 
