@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrobora.operators import evaluate as ev, fuse, silver as sv, trust as tr
 from corrobora.operators.discovery import discover_truth
+from corrobora.operators.states import StateTable
 from corrobora.plans import methods as me, tables
 from corrobora.plans.registry import query
 from corrobora.plans.sqlparts import (
@@ -16,6 +17,7 @@ from corrobora.plans.sqlparts import (
     trust_join_sql,
     vote_sql,
 )
+from corrobora.session import scratch_path
 
 YEARLY = 1e-8  # decay per second: about a factor e in three years
 
@@ -66,6 +68,15 @@ def _(spark, sf):
     return fuse.rank_merge(*states, fuse.rank_state(old), fuse.rank_state(new))
 
 
+@query("rank_upsert", assemble(RANK_STATE))
+def _(spark, sf):
+    claims = _rounded(tables.trusted_claims(spark, sf))
+    old, new = claims.filter("ts < 1e9"), claims.filter("ts >= 1e9")
+    table = StateTable.create(fuse.rank_state(old), scratch_path(spark, "ranks"), ["cluster_id", "field"], 32)
+    table.upsert(fuse.rank_state(new), fuse.rank_merge)
+    return table.read()
+
+
 @query("vote_fuse", assemble(vote_sql("trusted")))
 def _(spark, sf):
     return fuse.vote_fuse(tables.trusted_claims(spark, sf))
@@ -94,6 +105,15 @@ def _(spark, sf):
     return state.withColumn("votes", F.col("votes").cast("long"))
 
 
+@query("vote_upsert", assemble(VOTE_STATE))
+def _(spark, sf):
+    claims = tables.trusted_claims(spark, sf)
+    old, new = claims.filter("ts < 1e9"), claims.filter("ts >= 1e9")
+    table = StateTable.create(fuse.vote_state(old), scratch_path(spark, "votes"), ["cluster_id", "field", "value"], 32)
+    table.upsert(fuse.vote_state(new), fuse.vote_merge)
+    return table.read().withColumn("votes", F.col("votes").cast("long"))
+
+
 @query("vote_merge", assemble(vote_sql("trusted")))
 def _(spark, sf):
     claims = tables.trusted_claims(spark, sf)
