@@ -9,6 +9,7 @@ from corrobora.functions.text import norm_number, norm_text
 from corrobora.operators import prepare as pp
 from corrobora.operators.components import connected_components
 from corrobora.operators.incremental import Components
+from corrobora.operators.sketches import STANDARD_ERROR, profile_estimates, profile_sketches
 from corrobora.operators.monitor import resolved_labels, top_sources
 from corrobora.operators.order import arrival_time, time_windows
 from corrobora.plans import methods as me, tables
@@ -146,6 +147,29 @@ def _(spark, sf):
     return pp.relation_profile(claims).withColumn("amount", F.round("amount", 6))
 
 
+@query(
+    "relation_profile_sketch",
+    assemble(
+        """SELECT 'offers' AS measure, CAST(count(DISTINCT offer_id) AS DOUBLE) AS amount, true AS within FROM offerclaims
+        UNION ALL SELECT 'clusters', count(DISTINCT cluster_id), true FROM offerclaims
+        UNION ALL SELECT 'sources', count(DISTINCT source_id), true FROM offerclaims
+        UNION ALL SELECT 'rows', count(*), true FROM offerclaims
+        UNION ALL SELECT 'avg_sources_per_cluster', round(avg(n), 6), true FROM (
+          SELECT count(DISTINCT source_id) AS n FROM offerclaims GROUP BY cluster_id)"""
+    ),
+)
+def _(spark, sf):
+    """Exact amounts, and whether the estimate from one merged sketch per source is within four standard errors of each."""
+    claims = _offer_claims(spark, sf)
+    exact = pp.relation_profile(claims).withColumn("amount", F.round("amount", 6))
+    found = profile_estimates(profile_sketches(claims, ["source_id"]))
+    names = ["offers", "clusters", "sources", "rows", "avg_sources_per_cluster"]
+    estimates = found.select(*[F.col(c).cast("double") for c in names]).unpivot([], names, "measure", "estimate")
+    errors = F.when(F.col("measure") == "avg_sources_per_cluster", 2).otherwise(1) * 4 * STANDARD_ERROR
+    within = F.abs(F.col("estimate") - F.col("amount")) <= errors * F.col("amount")
+    return exact.join(F.broadcast(estimates), "measure").select("measure", "amount", within.alias("within"))
+
+
 SPLIT = f"""SELECT seed, cluster_id, CASE WHEN row_number() OVER (PARTITION BY seed ORDER BY {hash_sql('seed', 'cluster_id')}, cluster_id) <= 100
   THEN 'train' ELSE 'test' END AS part
   FROM (SELECT DISTINCT cluster_id FROM silver), (SELECT unnest([0, 1, 2]) AS seed)"""
