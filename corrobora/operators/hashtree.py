@@ -95,7 +95,7 @@ class HashTree:
         return F.expr(f"cast({leaf} div {self.fan ** (self.depth - 1)} as int)")
 
     def _stored(self) -> DataFrame:
-        schema = StructType([*self.schema.fields]).add("leaf", "int").add("branch", "int")
+        schema = StructType([*self.schema.fields]).add("leaf", "integer").add("branch", "integer")
         return self.spark.read.schema(schema).parquet(f"{self.path}/groups")
 
     def _write(self, groups: DataFrame) -> None:
