@@ -46,20 +46,27 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(digest % 3 == 1, F.lit(False))
 
 
-def label_sample(labels: DataFrame, label: str = "quality", bound: int = LABEL_BOUND) -> DataFrame:
-    """(doc_id, label) of about ``bound`` labelled documents outside the held-out third, small enough to broadcast.
+def training_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, label) of every labelled document outside the held-out third.
 
     A document labelled more than once counts once, with its greatest label;
-    null ids and labels are left out. The choice hashes the id, so it does not
-    depend on row order. The sample only bounds what a model is fitted on.
+    null ids and labels are left out.
     """
-    rows = (
+    return (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    rows = pin(rows, "labels")
+
+
+def label_sample(labels: DataFrame, label: str = "quality", bound: int = LABEL_BOUND) -> DataFrame:
+    """About ``bound`` of :func:`training_labels`, small enough to broadcast.
+
+    The choice hashes the id, so it does not
+    depend on row order. The sample only bounds what a model is fitted on.
+    """
+    rows = pin(training_labels(labels, label), "labels")
     n = rows.count()
     if n > bound:
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))

@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corrobora.llm.common import LABEL_BOUND, label_sample, labelled, load
+from corrobora.llm.common import load, ship, training_labels
+from corrobora.operators.joins import lookup_join
 
 #: Bits of the n-gram hash: 65,536 buckets, whatever the corpus.
 HASH_BITS = 16
@@ -108,13 +109,15 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + size * base) / (target.sum() + size) / base)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of each bucket: n-grams of all documents against those of trusted (quality 1) ones.
 
-    The raw side counts every document; the trusted side a bounded sample.
-    Each partition is reduced to one row per bucket before anything moves.
+    The raw side counts every document, the trusted side every trusted one outside the held-out third.
+    The trusted ids travel while they are few, and each partition is reduced to one row per bucket before anything moves.
     """
-    rows = labelled(docs, label_sample(labels, "quality", bound), "left")
+    ship(docs.sparkSession)
+    trusted = training_labels(labels).filter("label = 1")
+    rows = lookup_join(docs.select("doc_id", "text"), trusted, ["doc_id"]).select("text", "label")
     counted = rows.mapInPandas(_count_grams, "bucket int, raw long, target long")
     total = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)

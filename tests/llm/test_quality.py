@@ -145,3 +145,18 @@ def test_rules_on_odd_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.bucket for r in qr.accept(docs, labels).collect()] == [3]
     assert qr.accept(docs.limit(0), labels).collect() == []
+
+
+def test_trusted_counts_cover_every_label(spark):
+    """More trusted documents than a bounded sample holds: each counts once, the held-out third never."""
+    n = 40_000
+    texts = [f"{k * 7919 % 99991:05d}" for k in range(n)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 > 0 as int) as quality")
+    raw, target = np.zeros(1 << qr.HASH_BITS), np.zeros(1 << qr.HASH_BITS)
+    for k, text in enumerate(texts):
+        found = qr.gram_buckets(text.encode())
+        np.add.at(raw, found, 1)
+        if k % 4 and zlib.crc32(str(k).encode()) % 3 != 1:
+            np.add.at(target, found, 1)
+    assert qr.fit(docs, labels.union(labels.limit(100))) == pytest.approx(qr.log_ratios(raw, target))
