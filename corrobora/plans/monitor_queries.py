@@ -25,7 +25,7 @@ from corrobora.plans.sqlparts import (
     vote_sql,
     windows_part,
 )
-from corrobora.session import pin, scratch_path
+from corrobora.session import pin, release, scratch_path
 from corrobora.streaming.keyed import KeyedFusion, late_outcomes
 from corrobora.streaming.live import (
     BatchTable,
@@ -421,7 +421,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    claims = pin(tables.trusted_claims(spark, sf))
+    claims = pin(tables.trusted_claims(spark, sf), "trusted")
     operators = {
         "rank": (fuse.rank_fuse, ["cluster_id", "field", "value"]),
         "vote": (fuse.vote_fuse, ["cluster_id", "field", "value"]),
@@ -429,13 +429,15 @@ def _(spark, sf):
     }
     audit = None
     for name, (operator, columns) in operators.items():
-        base = fuse.fingerprint(operator(claims), columns)
+        # each digest is written on its own, so that its shuffle files go before the next
+        base = pin(fuse.fingerprint(operator(claims), columns), "digest")
         for parts in (3, 16, 64):
             mixed = claims.repartition(parts, portable_hash(F.col("offer_id"), F.lit(parts)))
-            other = fuse.fingerprint(operator(mixed), columns)
+            other = pin(fuse.fingerprint(operator(mixed), columns), "digest")
             both = base.unionByName(other).agg(F.count_distinct("rows", "digest_sum", "digest_xor").alias("n"))
             line = both.select(F.lit(name).alias("method"), F.lit(parts).alias("parts"), (F.col("n") == 1).alias("same"))
             audit = line if audit is None else audit.unionByName(line)
+    release(claims)
     return audit
 
 
