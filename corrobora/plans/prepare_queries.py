@@ -23,7 +23,7 @@ OFFER_IDS = ["cluster_id", "offer_id", "source_id", "ts"]
 
 @query("claims_unpivot", assemble("SELECT cluster_id, source_id, ts, offer_id, field, value FROM claims"))
 def _(spark, sf) -> DataFrame:
-    return tables.claims(spark, sf)
+    return tables.claims(spark, sf, dealt=False)
 
 
 def sql_text(column: str) -> str:
