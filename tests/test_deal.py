@@ -65,11 +65,27 @@ def test_rounds_of_truth_discovery_neither_sort_nor_hash_claims(records):
         assert all("value" not in line.split("functions")[0] for line in plan.splitlines() if " HashAggregate(keys=" in line)
 
 
-def test_the_audit_of_plans_leaves_only_digests_to_read(spark, tmp_path):
+@pytest.fixture
+def line_folder(spark, tmp_path):
     day = datetime.datetime(2000, 1, 1)
     lines = [(k // 4, k % 30, k * 7 % 11, k % 4, 0.01 * (k % 5), 0.02, "AN"[k % 2], "FO"[k % 2], day) for k in range(400)]
     columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
     spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
-    audit = QUERIES["plan_invariance"](spark, str(tmp_path))
+    return str(tmp_path)
+
+
+def test_the_fingerprint_deals_records_not_claims(spark, line_folder):
+    found = QUERIES["fingerprint"](spark, line_folder)
+    dealt = [line for line in moves(found) if "REPARTITION_BY_NUM" in line and ", 13)" in line]
+    assert dealt and all("_orderkey" in line or "offer_id" in line for line in dealt)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    place = [next(i for i, line in enumerate(plan) if word in line) for word in ("Generate inline", "RepartitionByExpression [offer_id")]
+    assert place[0] < place[1]
+    same = dict.fromkeys(["rank_equal", "vote_equal", "methods_equal"], True)  # each part's lines agree here
+    assert found.first().asDict() == {"rows": 120, "same_rows": 120} | same
+
+
+def test_the_audit_of_plans_leaves_only_digests_to_read(spark, line_folder):
+    audit = QUERIES["plan_invariance"](spark, line_folder)
     assert all("/digest-" in name for name in audit.inputFiles())
     assert sorted(map(tuple, audit.collect())) == sorted((m, p, True) for m in ("rank", "vote", "collapse") for p in (3, 16, 64))
