@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corrobora.llm import line_dedup as ld
 
@@ -51,6 +52,22 @@ def test_decisions_against_all_pairs(spark, monkeypatch, crowd):
     assert got[160].n_lines == 0 and got[163].n_lines == 1
 
 
+def test_lines_under_a_crowded_token_meet_their_lead_without_another_join(spark):
+    frame = spark.createDataFrame(corpus(3, 80), "doc_id long, text string")
+    classes = ld._line_classes(ld.line_table(frame, ld.rarity(frame)))
+    met = classes.filter("n > 3").select("cid", "n", "parity", F.posexplode("rare").alias("place", "key"))
+    crowded = met.groupBy("key").count().filter("count > 2").select("key")
+    made = ld._lead_pairs(classes, met.join(crowded, "key", "left_semi"), crowded)
+    joins = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("key#" in line and "cid#" not in line.split("((")[0] for line in joins)
+    sizes = {r.cid: (r.n, r.parity) for r in classes.collect()}
+    pairs = {(r.a, r.b) for r in made.collect()}
+    assert pairs
+    for a, b in pairs:
+        (n, x), (m, y) = sizes[a], sizes[b]
+        assert a != b and bin((x ^ y) & (2**64 - 1)).count("1") + 2 * -(-8 * (n + m) // 18) <= n + m
+
+
 def test_text_without_its_lines(spark):
     rows = [
         (5, "the same long line of words here\nown words only", "x", 9),
