@@ -68,6 +68,28 @@ def test_lines_under_a_crowded_token_meet_their_lead_without_another_join(spark)
         assert a != b and bin((x ^ y) & (2**64 - 1)).count("1") + 2 * -(-8 * (n + m) // 18) <= n + m
 
 
+def test_rows_per_token_are_joined_once_whatever_the_crowds(spark, monkeypatch):
+    made, real = [], ld._verified
+    monkeypatch.setattr(ld, "_verified", lambda docs, classes, pairs: made.append(pairs) or real(docs, classes, pairs))
+    frame = spark.createDataFrame(corpus(2, 160), "doc_id long, text string")
+    classes = ld._line_classes(ld.line_table(frame, ld.rarity(frame)))
+    ld.later_matches(frame, classes, 2)
+    assert len(made) == 2
+    joins = [line for line in made[-1]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert not any("LeftAnti" in line for line in joins) and sum("key#" in line for line in joins) == 1
+
+
+def test_lines_of_other_lengths_are_no_crowd(spark, monkeypatch):
+    made, real = [], ld._verified
+    monkeypatch.setattr(ld, "_verified", lambda docs, classes, pairs: made.append(pairs) or real(docs, classes, pairs))
+    docs = [(k, "rare " + " ".join(f"w{k}x{i}" for i in range(4 + 3 * k) for _ in range(64))) for k in range(30)]
+    docs.append((30, docs[20][1] + " more"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = ld._line_classes(ld.line_table(frame, ld.rarity(frame)))
+    assert [r.match.doc_id for r in ld.later_matches(frame, classes, 8).collect()] == [20]
+    assert len(made) == 1
+
+
 def test_text_without_its_lines(spark):
     rows = [
         (5, "the same long line of words here\nown words only", "x", 9),
