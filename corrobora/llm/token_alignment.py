@@ -19,8 +19,10 @@ from corrobora.operators.joins import lookup_join
 from corrobora.session import narrow, pin
 
 PIECES = "piece_bpe_32k.model"
-#: Units that a worker remembers, beyond which the memory starts anew, and the longest of them in characters.
-MEMORY, REMEMBERED = 300_000, 64
+#: Units that a worker remembers, beyond which only what the last as many held stays at hand, and the longest of them in characters.
+MEMORY, REMEMBERED = 200_000, 64
+#: Words given to the libraries as one text.
+TOGETHER = 64
 #: Marks that, after letters, may be aligned apart from them.
 MARKS = ".,;:!?%&*$#)\"|"
 #: Documents per output batch, so that a batch of link arrays stays small.
@@ -68,7 +70,8 @@ class Aligner(dict):
 
     A unit that begins with a line break stands for itself, one in a tuple for
     marks after a letter, any other for itself after a space: the cuts at which
-    both tokenizers start a token.
+    both tokenizers start a token. When the memory is full it becomes ``before``,
+    from which units that are met again are taken over.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -76,6 +79,7 @@ class Aligner(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.before: dict = {}
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
@@ -83,6 +87,7 @@ class Aligner(dict):
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [self._piece(p) for p in pieces]
         self.wide_a, self.wide_b = {k: len(v) for k, v in self.bytes_a.items()}, [*map(len, self.bytes_b)]
+        self.decimal = [*map(str, range(max(len(pieces), max(self.bytes_a) + 1)))]
         joined = {m for p in pieces for m in re.findall(r"(?<=[^\W\d_])[^\w\s]", p)}
         #: letters, then marks that no piece of B holds after a letter and A matches apart from letters
         self.tail = re.compile(f"([^\\W\\d_]+)([{re.escape(''.join(m for m in MARKS if m not in joined))}]+)")
@@ -96,30 +101,73 @@ class Aligner(dict):
 
     def aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
         """The groups of a text from its ids."""
-        if b"".join([self.bytes_a[k] for k in a]) != text.encode() or b"".join([self.bytes_b[k] for k in b]) != text.encode():
+        found = self.aligned_at(text, [len(text.encode())], a, b)
+        return found and found[0]
+
+    def aligned_at(self, text: str, cuts: Sequence[int], a: list[int], b: list[int]) -> list[tuple] | None:
+        """The groups of each unit of a text, which end at ``cuts`` (in bytes); None where the bytes disagree, or tokens do not end there."""
+        raw = text.encode()
+        if b"".join([self.bytes_a[k] for k in a]) != raw or b"".join([self.bytes_b[k] for k in b]) != raw:
             return None
-        groups = align([*accumulate([self.wide_a[k] for k in a])], [*accumulate([self.wide_b[k] for k in b])])
-        shown = ";".join([f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:n]))}" for i, k, j, n in groups])
-        return len(a), len(b), len(groups), shown, [a[k - 1] << 32 | b[n - 1] for _, k, _, n in groups]
+        ends_a = [*accumulate([self.wide_a[k] for k in a])]
+        groups = align(ends_a, [*accumulate([self.wide_b[k] for k in b])])
+        names, at = self.decimal, iter(cuts)
+        names_a, names_b = [names[k] for k in a], [names[k] for k in b]
+        found, shown, links, from_a, from_b, cut = [], [], [], 0, 0, next(at)
+        for i, k, j, n in groups:
+            shown.append(f"{','.join(names_a[i:k])}|{','.join(names_b[j:n])}")
+            links.append(a[k - 1] << 32 | b[n - 1])
+            if ends_a[k - 1] >= cut:
+                if ends_a[k - 1] > cut:
+                    return None
+                found.append((k - from_a, n - from_b, len(shown), ";".join(shown), tuple(links)))
+                shown, links, from_a, from_b, cut = [], [], k, n, next(at, 0)
+        return found
 
     def learn(self, units: set[str]) -> None:
         """Align the units that are not remembered, all in one call of each library."""
-        parts = {u: self.tail.fullmatch(u) for u in units if u not in self}
+        parts = {u: self.tail.fullmatch(u) for u in units if not self.known(u)}
         new = {u for u, m in parts.items() if not m}
-        new.update(k for m in parts.values() if m for k in (m[1], (m[2],)) if k not in self)
-        new = [*new]
-        own = [u[0] if isinstance(u, tuple) else u if u[:1] == "\n" else " " + u for u in new]
-        ids_a = self.a.encode_batch_fast(own, add_special_tokens=False)
-        # B puts a space before any text: a piece of its own before a line break, joined with the letter before marks
-        ids_b = self.b.encode(["a" + u[0] if isinstance(u, tuple) else u for u in new], num_threads=1)
-        for unit, text, a, b in zip(new, own, ids_a, ids_b):
-            self[unit] = self.aligned(text, a.ids, b[1:] if text[:1] != " " else b)
+        new.update(k for m in parts.values() if m for k in (m[1], (m[2],)) if not self.known(k))
+        words = [u for u in new if not isinstance(u, tuple) and u.isalpha()]
+        self.learn_each([u for u in new if isinstance(u, tuple) or not u.isalpha()] + self.learn_words(words))
         for unit, m in parts.items():
             if m:
                 word, tail = self[m[1]], self[(m[2],)]
                 whole = word and tail
                 self[unit] = whole and (*(x + y for x, y in zip(word[:3], tail)), f"{word[3]};{tail[3]}", word[4] + tail[4])
 
+    def known(self, unit: str | tuple) -> bool:
+        """Whether a unit is remembered; one from before is taken over."""
+        if unit in self:
+            return True
+        if unit in self.before:
+            self[unit] = self.before[unit]
+            return True
+        return False
+
+    def learn_words(self, words: list[str]) -> list[str]:
+        """Align words of letters, many as one text; returns those of texts whose bytes or ends disagree."""
+        some = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        texts, left = [" ".join(w) for w in some], []
+        ids_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for own, text, a, b in zip(some, texts, ids_a, self.b.encode(texts, num_threads=1)):
+            found = self.aligned_at(" " + text, [*accumulate([len(w.encode()) + 1 for w in own])], a.ids, b)
+            if found:
+                self.update(zip(own, found))
+            else:
+                left += own
+        return left
+
+    def learn_each(self, units: list[str]) -> None:
+        """Align units one by one."""
+        own = [u[0] if isinstance(u, tuple) else u if u[:1] == "\n" else " " + u for u in units]
+        ids_a = self.a.encode_batch_fast(own, add_special_tokens=False)
+        # B puts a space before any text: a piece of its own before a line break, joined with the letter before marks
+        ids_b = self.b.encode(["a" + u[0] if isinstance(u, tuple) else u for u in units], num_threads=1)
+        for unit, text, a, b in zip(units, own, ids_a, ids_b):
+            self[unit] = self.aligned(text, a.ids, b[1:] if text[:1] != " " else b)
+
     def units(self, text: str) -> list[str]:
         """The text in units; a text whose blanks are all single needs no pattern."""
         if _BLANKS.search(text) or text[0].isspace() or text[-1].isspace():
@@ -130,6 +178,7 @@ class Aligner(dict):
     def documents(self, texts: Sequence[str]) -> list[list[tuple]]:
         """The aligned units of each whole text; none where a unit's bytes disagree, or of an empty text."""
         if len(self) > MEMORY:
+            self.before = dict(self)
             self.clear()
         cut = [self.units(t) if t else [] for t in texts]
         odd = {}  # the first unit follows a space, so one that begins with a line break is looked at apart

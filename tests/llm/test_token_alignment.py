@@ -108,3 +108,47 @@ def test_large_count_tables_take_the_salted_join(spark, libraries, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in ta.alignment(docs, A, B).collect()}
     assert [got[k] for k in range(len(TEXTS))] == expected(TEXTS, libraries)
+
+
+class Counted:
+    """A library that counts the texts given to it."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode(texts, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def shown(groups):
+    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups or [])
+
+
+def test_words_go_to_the_libraries_together_and_odd_ones_by_themselves(libraries):
+    tool = ta.Aligner(A, B)
+    tool.a, tool.b = Counted(tool.a), Counted(tool.b)
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(3)) for k in range(640)]
+    assert [shown(whole(w, libraries)) for w in words] == [f[0][3] for f in tool.documents(words)]
+    assert tool.a.texts == tool.b.texts == 640 // ta.TOGETHER
+    odd = ["freshﬁ", "newword", "日本", "ｆｕ", "½", "cafés,", "ẞß", "soft­hyphen"]  # some change their bytes in B
+    found = tool.documents(odd + [" ".join(odd[1:3])])
+    assert [";".join(f[3] for f in x) for x in found] == [shown(whole(t, libraries)) for t in odd + [" ".join(odd[1:3])]]
+
+
+def test_units_met_again_outlast_a_full_memory(libraries, monkeypatch):
+    monkeypatch.setattr(ta, "MEMORY", 3)
+    tool = ta.Aligner(A, B)
+    tool.a, tool.b = Counted(tool.a), Counted(tool.b)
+    tool.documents(["these words come again and again"])
+    texts = tool.a.texts
+    for _ in range(3):
+        assert ";".join(f[3] for f in tool.documents(["these words come again"])[0]) == shown(whole("these words come again", libraries))
+    assert tool.a.texts == tool.b.texts == texts
+    for k in range(5):
+        tool.documents([f"{'abcde'[k]}{n} other words" for n in range(4)])
+    assert len(tool) + len(tool.before) < 20
