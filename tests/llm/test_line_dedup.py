@@ -113,3 +113,19 @@ def test_text_without_its_lines(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert ld.line_decisions(frame).collect() == [] and ld.drop_lines(frame).collect() == []
+
+
+def test_rarity_counts_every_word_within_one_fast_map(spark, monkeypatch):
+    seen, real = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda frame: seen.append(spark.conf.get(ld._FAST_MAP, None)) or real(frame))
+    texts = [None, "", "a b\ta\x0bb  a", "\n\na\fb\r\n c\n", " \t "]
+    ranks = ld.rarity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert seen == [str(ld.RARITY_BITS)] and spark.conf.get(ld._FAST_MAP, None) is None
+    assert sorted(b for b in ranks if b) == [3, 4]  # b three times, a four times; c once
+
+
+def test_codes_hold_no_nulls_and_are_sorted_as_longs(spark):
+    coded = spark.createDataFrame([("b a\tb  a c",)], "line string").select(ld._codes(F.col("line"), bytes(1 << ld.RARITY_BITS)).alias("codes"))
+    assert coded.schema["codes"].dataType.containsNull is False
+    codes = coded.head().codes
+    assert len(codes) == 3 and codes == sorted(codes)
