@@ -77,6 +77,8 @@ def near_pairs(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     every chain stays in proportion to its length: no difference in one segment,
     at most one over two, two over three. Segment and neighbour are the join
     key, with one bit of the neighbour open; the whole ring is checked after it.
+    Both sides are shuffled: an exploded side is as many times larger than the planner takes it for as it has keys a row,
+    65 for the probes, and must not be broadcast.
     Links are complete up to reachability: a key that more than ``crowd``
     fingerprints share would make pairs in the square of its size, so there
     each fingerprint that meets it is linked through its neighbourhood: two
@@ -93,7 +95,7 @@ def near_pairs(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     if any_crowded:
         met = probe.join(crowded, "key", "left_semi").select(F.col("right").alias("fp")).distinct()
         index = index.join(crowded, "key", "left_anti")
-    pairs = index.join(probe, "key").filter(F.col("left") < F.col("right"))
+    pairs = index.join(probe.hint("merge"), "key").filter(F.col("left") < F.col("right"))
     k, left, right = F.col("key").bitwiseAND(F.lit(3)), F.col("left"), F.col("right")
     chain = F.lit(False)
     for s in ks:
@@ -104,7 +106,7 @@ def near_pairs(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     if any_crowded:
         around = met.select("fp", F.explode(F.array(fp, *(fp.bitwiseXOR(F.lit(_bit(j))) for j in range(64)))).alias("point"))
         star = around.groupBy("point").agg(F.min("fp").alias("left"), F.count("*").alias("n")).filter("n > 1")
-        links = links.unionByName(around.join(star, "point").filter(F.col("left") < fp).select("left", fp.alias("right")))
+        links = links.unionByName(around.join(star.hint("merge"), "point").filter(F.col("left") < fp).select("left", fp.alias("right")))
     return links
 
 

@@ -101,3 +101,16 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert kept == [("3", "None"), ("7", "e f g h"), ("None", "a b c d")]
     assert nd.near_groups(frame.limit(0)).collect() == []
     assert nd.keep_first(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("crowd", [4000, 1])
+def test_probes_are_not_broadcast(spark, crowd):
+    """The planner counts 65 probes of a fingerprint as one, so a small table of fingerprints may have a large one of probes."""
+    classes = spark.range(3000).selectExpr("id * 3 as fp", "id as least")
+    links = nd.near_pairs(classes, crowd)
+    joins = [j for j in links._jdf.queryExecution().executedPlan().toString().split("\n") if "HashJoin" in j or "MergeJoin" in j]
+    assert not [j for j in joins if "HashJoin" in j and "Inner" in j], joins
+    assert sum("SortMergeJoin" in j for j in joins) == (2 if crowd == 1 else 1)
+    found = {r.node for r in component_roots(links).collect()}
+    near = {b for b in range(0, 9000, 3) for a in range(0, 9000, 3) if a < b and (a ^ b).bit_count() <= 2}
+    assert found == near
