@@ -129,3 +129,12 @@ def test_codes_hold_no_nulls_and_are_sorted_as_longs(spark):
     assert coded.schema["codes"].dataType.containsNull is False
     codes = coded.head().codes
     assert len(codes) == 3 and codes == sorted(codes)
+
+
+def test_rows_per_token_are_not_broadcast(spark):
+    """The planner counts a line once, however many tokens index it."""
+    rows = spark.range(40).select(F.col("id").alias("cid"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("key"))
+    among = ld._sharing(rows, F.col("cid") < 2)
+    plan = among._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert among.count() == 2 * 40 * 10
