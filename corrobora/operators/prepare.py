@@ -56,6 +56,19 @@ def deal_groups(records: DataFrame, group: Sequence[str] = ("cluster_id",), part
     return records.repartition(max(cores, -(-total // part)), *group)
 
 
+def deal_parts(
+    records: DataFrame, parts: int, mix: Column, group: Sequence[str] = ("cluster_id",), part: int = PART_RECORDS
+) -> DataFrame:
+    """Records of each group dealt over ``parts`` partitions by the long ``mix``, whatever the size of the table.
+
+    Groups are cut into as many slices as keep a partition at about ``part`` records; each slice has
+    ``parts`` partitions of its own, one slice in a small table. No group lies in more than ``parts`` of them.
+    """
+    slices = max(1, -(-records.count() // (parts * part)))
+    place = F.pmod(F.xxhash64(*group), F.lit(slices)) * parts + F.pmod(mix, F.lit(parts))
+    return records.repartitionById(slices * parts, place.cast("int"))
+
+
 def multi_source(claims: DataFrame, least: int = 2) -> DataFrame:
     """Claims of the clusters that at least ``least`` distinct sources speak about."""
     sources = claims.groupBy("cluster_id").agg(F.count_distinct("source_id").alias("_sources"))
@@ -134,6 +147,7 @@ def relation_profile(claims: DataFrame) -> DataFrame:
 
 __all__ = [
     "deal_groups",
+    "deal_parts",
     "dict_encode",
     "multi_source",
     "relation_profile",

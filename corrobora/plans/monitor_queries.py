@@ -8,6 +8,7 @@ from corrobora.functions.ids import portable_hash
 from corrobora.operators import evaluate as ev, fuse, monitor as mo, trust as tr
 from corrobora.operators.intervals import claim_intervals, interval_evidence
 from corrobora.operators.order import time_windows
+from corrobora.operators.prepare import deal_parts
 from corrobora.plans import methods as me, tables
 from corrobora.plans.fusion_queries import SHARE, YEARLY
 from corrobora.plans.prepare_queries import SPLIT
@@ -421,7 +422,12 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    claims = pin(tables.trusted_claims(spark, sf), "trusted")
+    collapsed, silver, trust = tables.learned_trust(spark, sf)
+    trust = pin(trust, "trust")
+    release(collapsed, silver)
+    # records are dealt, not their claims, which lie where their records do
+    dealt, records = tables.line_records(spark, sf), tables.line_records(spark, sf, dealt=False)
+    mixes = {parts: deal_parts(records, parts, portable_hash(F.col("offer_id"), F.lit(parts))) for parts in (3, 16, 64)}
     operators = {
         "rank": (fuse.rank_fuse, ["cluster_id", "field", "value"]),
         "vote": (fuse.vote_fuse, ["cluster_id", "field", "value"]),
@@ -429,15 +435,17 @@ def _(spark, sf):
     }
     audit = None
     for name, (operator, columns) in operators.items():
-        # each digest is written on its own, so that its shuffle files go before the next
-        base = pin(fuse.fingerprint(operator(claims), columns), "digest")
-        for parts in (3, 16, 64):
-            mixed = claims.repartition(parts, portable_hash(F.col("offer_id"), F.lit(parts)))
-            other = pin(fuse.fingerprint(operator(mixed), columns), "digest")
-            both = base.unionByName(other).agg(F.count_distinct("rows", "digest_sum", "digest_xor").alias("n"))
+
+        def digest(of: DataFrame) -> DataFrame:
+            # each digest is written on its own, so that its shuffle files go before the next
+            return pin(fuse.fingerprint(operator(tr.join_trust(tables.claims_of(of), trust)), columns), "digest")
+
+        base = digest(dealt)
+        for parts, mixed in mixes.items():
+            both = base.unionByName(digest(mixed)).agg(F.count_distinct("rows", "digest_sum", "digest_xor").alias("n"))
             line = both.select(F.lit(name).alias("method"), F.lit(parts).alias("parts"), (F.col("n") == 1).alias("same"))
             audit = line if audit is None else audit.unionByName(line)
-    release(claims)
+    release(trust)
     return audit
 
 

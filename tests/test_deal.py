@@ -89,3 +89,32 @@ def test_the_audit_of_plans_leaves_only_digests_to_read(spark, line_folder):
     audit = QUERIES["plan_invariance"](spark, line_folder)
     assert all("/digest-" in name for name in audit.inputFiles())
     assert sorted(map(tuple, audit.collect())) == sorted((m, p, True) for m in ("rank", "vote", "collapse") for p in (3, 16, 64))
+
+
+def test_parts_of_a_group_do_not_grow_with_the_table(records):
+    known = records.dropna(subset=["cluster_id"])
+    for part, slices in ((1000, 1), (20, 14)):  # 784 records
+        dealt = pp.deal_parts(known, 3, F.col("offer_id"), part=part)
+        assert dealt.rdd.getNumPartitions() == 3 * slices
+        placed = dealt.withColumn("place", F.spark_partition_id()).collect()
+        places = {}
+        for r in placed:
+            places.setdefault(r.cluster_id, set()).add(r.place)
+        assert all(len(p) == 3 and {x % 3 for x in p} == {0, 1, 2} for p in places.values())
+        assert sorted(r.offer_id for r in placed) == sorted(r.offer_id for r in known.collect())
+    assert pp.deal_parts(records, 3, F.col("offer_id")).count() == 800 and pp.deal_parts(records.limit(0), 3, F.col("offer_id")).count() == 0
+
+
+def test_the_audit_of_plans_deals_records_over_more_tasks_in_larger_tables(spark, line_folder, monkeypatch):
+    seen = []
+
+    def noted(found):
+        seen.append(found)
+        return found
+
+    from corrobora.plans import monitor_queries as mq
+
+    monkeypatch.setattr(mq, "deal_parts", lambda *args: noted(pp.deal_parts(*args, part=10)), raising=False)
+    assert all(r.same for r in QUERIES["plan_invariance"](spark, line_folder).collect())
+    assert [d.rdd.getNumPartitions() for d in seen] == [3 * 14, 16 * 3, 64]  # 400 records
+    assert all("field" not in d.columns for d in seen)
