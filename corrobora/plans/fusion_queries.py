@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrobora.operators import evaluate as ev, fuse, silver as sv, trust as tr
 from corrobora.operators.discovery import discover_truth
@@ -17,7 +19,7 @@ from corrobora.plans.sqlparts import (
     trust_join_sql,
     vote_sql,
 )
-from corrobora.session import scratch_path
+from corrobora.session import pin, scratch_path
 
 YEARLY = 1e-8  # decay per second: about a factor e in three years
 
@@ -154,6 +156,25 @@ def _(spark, sf):
     return gated.withColumn("share", F.round("share", 6))
 
 
+#: Order lines that are fingerprinted at a time: about 5 GB of shuffle and spill files.
+PASS_RECORDS = 20_000_000
+
+
+def _prints(spark: SparkSession, sf: str, only: Column | None = None) -> DataFrame:
+    """(kind, rows, digest_sum) of rank and vote on order lines, perhaps ``only`` some, dealt by part and dealt otherwise."""
+    claims = tables.claims_of(tables.line_records(spark, sf, only=only)).withColumn("trust", F.lit(1.0))
+    records = tables.line_records(spark, sf, dealt=False, only=only).repartition(13, "offer_id")  # claims lie where their records do
+    shuffled = tables.claims_of(records).withColumn("trust", F.lit(1.0))
+    kinds = {
+        "rank": fuse.rank_fuse(claims),
+        "rank2": fuse.rank_fuse(shuffled),
+        "vote": fuse.vote_fuse(claims),
+        "vote2": fuse.vote_fuse(shuffled),
+    }
+    found = [fuse.fingerprint(df).select(F.lit(name).alias("kind"), "rows", "digest_sum") for name, df in kinds.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "fingerprint",
     assemble(
@@ -162,20 +183,18 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    claims = tables.claims(spark, sf).withColumn("trust", F.lit(1.0))
-    records = tables.line_records(spark, sf, dealt=False).repartition(13, "offer_id")  # claims lie where their records do
-    shuffled = tables.claims_of(records).withColumn("trust", F.lit(1.0))
-    kinds = {
-        "rank": fuse.rank_fuse(claims),
-        "rank2": fuse.rank_fuse(shuffled),
-        "vote": fuse.vote_fuse(claims),
-        "vote2": fuse.vote_fuse(shuffled),
-    }
-    prints = None
-    for name, df in kinds.items():
-        one = fuse.fingerprint(df).select(F.lit(name).alias("kind"), "rows", "digest_sum")
-        prints = one if prints is None else prints.unionByName(one)
-    wide = prints.groupBy().pivot("kind", list(kinds)).agg(F.first("rows").alias("n"), F.first("digest_sum").alias("d"))
+    lines = tables.load(spark, sf, "lineitem").count()
+    passes = -(-lines // PASS_RECORDS)
+    if passes <= 1:
+        prints = _prints(spark, sf)
+    else:
+        # no part lies in two passes, so their digests add up; the shuffle files of a pass go before the next
+        slices = [F.pmod(F.xxhash64("l_partkey"), F.lit(passes)) == k for k in range(passes)]
+        done = [pin(_prints(spark, sf, only), "prints") for only in slices]
+        total = F.sum(F.col("digest_sum").cast("decimal(38,0)")).cast("string").alias("digest_sum")
+        prints = reduce(DataFrame.unionByName, done).groupBy("kind").agg(F.sum("rows").alias("rows"), total)
+    kinds = ["rank", "rank2", "vote", "vote2"]
+    wide = prints.groupBy().pivot("kind", kinds).agg(F.first("rows").alias("n"), F.first("digest_sum").alias("d"))
     return wide.select(
         F.col("rank_n").alias("rows"),
         F.col("vote_n").alias("same_rows"),

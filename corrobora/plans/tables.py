@@ -20,10 +20,11 @@ def epoch_seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1000000.0
 
 
-def line_records(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
-    """Order lines as records in which suppliers describe parts, dealt by part unless told otherwise."""
+def line_records(spark: SparkSession, sf_dir: str, dealt: bool = True, only: Column | None = None) -> DataFrame:
+    """Order lines as records in which suppliers describe parts, dealt by part unless told otherwise; perhaps ``only`` some lines."""
     columns = "l_orderkey l_partkey l_suppkey l_linenumber l_discount l_tax l_returnflag l_linestatus l_shipdate"
     line = load(spark, sf_dir, "lineitem").select(*columns.split())
+    line = line if only is None else line.filter(only)
     line = deal_groups(line, ["l_partkey"]) if dealt else spread(line)
 
     def percent(c: str) -> Column:

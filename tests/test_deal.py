@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corrobora.operators import discovery, fuse, prepare as pp
 from corrobora.plans.catalog import QUERIES
-from corrobora.session import bucketed
+from corrobora.session import bucketed, pin
 
 IDS = ["cluster_id", "source_id", "ts", "offer_id"]
 
@@ -118,3 +118,25 @@ def test_the_audit_of_plans_deals_records_over_more_tasks_in_larger_tables(spark
     assert all(r.same for r in QUERIES["plan_invariance"](spark, line_folder).collect())
     assert [d.rdd.getNumPartitions() for d in seen] == [3 * 14, 16 * 3, 64]  # 400 records
     assert all("field" not in d.columns for d in seen)
+
+
+def test_the_fingerprint_of_a_large_table_is_taken_in_passes(spark, line_folder, monkeypatch):
+    from corrobora.plans import fusion_queries as fq
+
+    whole = QUERIES["fingerprint"](spark, line_folder).first()
+    digests = {r.kind: (r.rows, r.digest_sum) for r in fq._prints(spark, line_folder).collect()}
+    taken = []
+
+    def noted(df, name):
+        taken.append(pin(df, name))
+        return taken[-1]
+
+    monkeypatch.setattr(fq, "PASS_RECORDS", 150)  # of 400 records
+    monkeypatch.setattr(fq, "pin", noted)
+    found = QUERIES["fingerprint"](spark, line_folder)
+    assert found.first() == whole
+    assert len(taken) == 3 and all("/prints-" in name for name in found.inputFiles())
+    passes = [{r.kind: (r.rows, r.digest_sum) for r in t.collect()} for t in taken]
+    assert all(p["rank"][0] for p in passes)
+    for kind, (rows, digest) in digests.items():
+        assert rows == sum(p[kind][0] for p in passes) and int(digest) == sum(int(p[kind][1]) for p in passes)
