@@ -45,16 +45,22 @@ def term_votes(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
     and blank-separated. Its weight is the mean length of its words, 1 to 15: long words are rare.
     Terms vote where they are made, so a chunk moves as one row of packed counters.
     """
-    words = F.array_remove(F.split(F.lower("text"), _BLANKS), "")
-    tagged = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-16)).bitwiseOR(F.least(F.length(w), F.lit(_HEAVIEST)).cast("long")))
-    hashed = _once(texts, tagged, "w", *keys)
+    # pairs are made by functions that are compiled: lambdas are interpreted, several hundred nanoseconds a term
+    words = _once(texts, F.array_remove(F.split(F.lower("text"), _BLANKS), ""), "w", *keys)
+    following = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1)))
+    pairs = words.select(*keys, F.posexplode_outer(F.arrays_zip("w", following)).alias("at", "pair"))
+
+    def tagged(w: Column) -> Column:
+        hashed = F.xxhash64(w).bitwiseAND(F.lit(-16)).bitwiseOR(F.least(F.length(w), F.lit(_HEAVIEST)).cast("long"))
+        return F.when(w.isNotNull(), hashed)
 
     def term(a: Column, b: Column) -> Column:
         long = F.coalesce((a.bitwiseAND(F.lit(15)) + b.bitwiseAND(F.lit(15))) / 2, a.bitwiseAND(F.lit(15)))
-        return F.xxhash64(a, b).bitwiseAND(F.lit(-16)).bitwiseOR(F.greatest(long.cast("long"), F.lit(1).cast("long")))
+        hashed = F.xxhash64(a, b).bitwiseAND(F.lit(-16)).bitwiseOR(F.greatest(long.cast("long"), F.lit(1).cast("long")))
+        return F.when(a.isNotNull(), hashed)
 
-    following = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1)))
-    terms = hashed.select(*keys, F.posexplode_outer(F.zip_with("w", following, term)).alias("at", "term"))
+    both = pairs.select(*keys, "at", tagged(F.col("pair")["w"]).alias("a"), tagged(F.col("pair")["1"]).alias("b"))
+    terms = both.select(*keys, "at", term(F.col("a"), F.col("b")).alias("term"))
     weight = F.col("term").bitwiseAND(F.lit(15))
     rows = terms.select(
         *keys,
@@ -173,12 +179,15 @@ def around(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
                 found.append(F.transform(table, own.bitwiseXOR))
         return F.concat(*found)
 
+    parts = max(queries.sparkSession.sparkContext.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def tables(df: DataFrame, x: str, y: str, flipped: bool) -> DataFrame:
-        rows = df.select(F.col("f0").alias(x), F.col("f1").alias(y)).distinct()
+        # dealt by number: adaptive execution counts the bytes of a row, not its 856 keys, and would explode all of them in one task
+        rows = df.select(F.col("f0").alias(x), F.col("f1").alias(y)).distinct().repartition(parts)
         return rows.select(x, y, F.explode(keys((F.col(x), F.col(y)), flipped)).alias("k"))
 
     asked, held = (F.col("q0"), F.col("q1")), (F.col("f0"), F.col("f1"))
-    met = tables(queries, "q0", "q1", True).join(tables(index, "f0", "f1", False), "k")
+    met = tables(queries, "q0", "q1", True).join(tables(index, "f0", "f1", False).hint("merge"), "k")
     apart = [a.bitwiseXOR(b) for a, b in zip(asked, held)]
     first = F.coalesce(*(F.when(F.bit_count(block(apart, t)) <= most, F.lit(t)) for t, most in enumerate(allowed)))
     return met.filter((distance(asked, held) <= radius) & (first == F.shiftright("k", PROBED))).select("q0", "q1", "f0", "f1")

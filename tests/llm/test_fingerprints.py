@@ -105,3 +105,20 @@ def test_near_copies_are_found(spark, tmp_path):
     assert all(got[20 * k + 1].found is None and got[20 * k + 1].near is None for k in range(60))
     copies = sum(got[20 * k + 1].fingerprint in got[20 * k].found for k in range(60))
     assert copies >= 57
+
+
+def test_probes_are_made_in_many_tasks_and_shuffled(spark):
+    prints = spark.range(500).selectExpr("id as doc_id", "hash(id) as f0", "xxhash64(id) as f1")
+    plan = fp.around(prints, prints)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    lines = plan.splitlines()
+    exploded = [k for k, line in enumerate(lines) if "Generate explode" in line]
+    assert len(exploded) == 2 and all(any("REPARTITION_BY_NUM" in line for line in lines[k : k + 5]) for k in exploded)
+
+
+def test_terms_are_made_without_interpreted_lambdas(spark):
+    texts = spark.createDataFrame([(1, "One two  three"), (2, ""), (3, None), (4, "\t")], "k long, text string")
+    votes = fp.term_votes(texts, ["k"])
+    assert "lambda" not in votes._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: (r.chunk, r.weight) for r in votes.collect()} == {1: (0, 3 + 4 + 5), 2: (None, None), 3: (None, None), 4: (None, None)}
